@@ -14,11 +14,10 @@ from sparkmeter.schemas import COUNTERS, DEVICE_COLUMNS, USAGE, conform
 UPGRADED = ["ts", *COUNTERS, "total_tokens"]
 
 
-def next_sequence(usage: DataFrame) -> Column:
-    """Largest id or update number used so far, as a scalar."""
-    return usage.agg(
-        F.coalesce(F.max(F.greatest("id", F.coalesce("updated_seq", "id"))), F.lit(0))
-    ).scalar()
+def last_sequence(usage: DataFrame) -> DataFrame:
+    """Largest id or update number used so far, 0 for an empty table, as one row."""
+    used = F.greatest("id", F.coalesce("updated_seq", "id"))
+    return usage.agg(F.coalesce(F.max(used), F.lit(0)).alias("last"))
 
 
 def upgrades(usage: DataFrame, best: DataFrame) -> DataFrame:
@@ -55,7 +54,7 @@ def upgrade_existing(staging: DataFrame, usage: DataFrame, tiebreak: list[str])
     """The fact table after larger repeats in the batch replaced stored usage (never smaller)."""
     usage = conform(usage, USAGE)
     best = batch_gate(staging.filter(is_response()), tiebreak)
-    return apply_upgrades(usage, upgrades(usage, best), next_sequence(usage) + 1)
+    return apply_upgrades(usage, upgrades(usage, best), last_sequence(usage).scalar() + 1)
 
 
 def new_rows(gated: DataFrame, usage: DataFrame) -> DataFrame:
@@ -97,7 +96,7 @@ def insert_new(
         fresh = fresh.withColumns(
             {c: F.lit(v).cast("string") for c, v in zip(DEVICE_COLUMNS, device, strict=True)}
         )
-    return number_rows(fresh, next_sequence(conform(usage, USAGE)))
+    return number_rows(fresh, last_sequence(conform(usage, USAGE)).scalar())
 
 
 def number_rows(fresh: DataFrame, start: Column) -> DataFrame:

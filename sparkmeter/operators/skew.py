@@ -22,7 +22,6 @@ def spread_join(
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"not a join that keeps rows of the left side once: {how}")
     split = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)))
-    copies = lookup.withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("bigint")
-    )
+    every_salt = F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))
+    copies = lookup.withColumn("_salt", F.explode(every_salt))
     return split.join(copies, [*keys, "_salt"], how).drop("_salt")

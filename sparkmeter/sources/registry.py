@@ -72,7 +72,11 @@ def union_all(frames: Iterable[DataFrame]) -> DataFrame:
 
 
 def ingest_sources(
-    spark: SparkSession, sources: Iterable[Source], now: Column, tz: str = "UTC"
+    spark: SparkSession,
+    sources: Iterable[Source],
+    now: Column,
+    tz: str = "UTC",
+    glob: str = "*.jsonl",
 ) -> DataFrame:
     """Facts of all sources, each read in its own dialect."""
-    return union_all(parse_source(scan_logs(spark, s.path), s, now, tz) for s in sources)
+    return union_all(parse_source(scan_logs(spark, s.path, glob), s, now, tz) for s in sources)

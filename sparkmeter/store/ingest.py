@@ -15,7 +15,7 @@ from sparkmeter.operators.facts import (
     delete_sessions,
     deleted_dates,
     new_rows,
-    next_sequence,
+    last_sequence,
     number_rows,
     upgrades,
 )
@@ -31,7 +31,7 @@ from sparkmeter.operators.rollup import (
     replace_ledger,
     save_additive,
 )
-from sparkmeter.operators.upsert import with_keys
+from sparkmeter.operators.upsert import with_keys, without_keys
 from sparkmeter.schemas import PRICING, USAGE, conform
 from sparkmeter.session import settle
 from sparkmeter.sources.logs import list_files, scan_logs
@@ -41,6 +41,7 @@ from sparkmeter.sources.manifest import (
     stale_files,
     update_manifest,
 )
+from sparkmeter.sources.pricing import upsert_pricing
 from sparkmeter.sources.registry import Source, parse_source, union_all
 from sparkmeter.store.tables import Store
 
@@ -56,13 +57,7 @@ def save_full(
     changes nothing. Returns the number of rows added.
     """
     usage = store.read("usage")
-    gated = settle(conform(batch_gate(staging, tiebreak or POSITION), USAGE), "gated")
-    # One number, so that all changes of this batch share a sequence.
-    start = usage.select(next_sequence(usage).alias("n")).limit(1).collect()
-    first = F.lit(start[0]["n"] if start else 0)
-
-    changes = settle(upgrades(usage, gated), "upgrades")
-    added = settle(number_rows(new_rows(gated, usage), first), "added")
+    gated, changes, added, first = _changes(usage, staging, tiebreak)
     days = changes.select("date").distinct()
     if not changes.isEmpty():
         rewritten = apply_upgrades(with_keys(usage, days, ["date"]), changes, first + 1)
@@ -74,6 +69,17 @@ def save_full(
     return added.count()
 
 
+def _changes(
+    usage: DataFrame, staging: DataFrame, tiebreak: list[str] | None
+) -> tuple[DataFrame, DataFrame, DataFrame, Column]:
+    """The gated batch, the upgrades and the new rows it brings, and the last number used."""
+    gated = settle(conform(batch_gate(staging, tiebreak or POSITION), USAGE), "gated")
+    first = F.lit(last_sequence(usage).collect()[0]["last"])
+    changes = settle(upgrades(usage, gated), "upgrades")
+    added = settle(number_rows(new_rows(gated, usage), first), "added")
+    return gated, changes, added, first
+
+
 def save_daily(store: Store, batch: DataFrame, now: Column) -> int:
     """Aggregate mode: add the sums of a batch to the rollup. Returns the days touched."""
     store.replace("daily", save_additive(batch, store.read("daily"), now))
@@ -100,6 +106,7 @@ def ingest(
     tz: str = "UTC",
     aggregate: bool = False,
     force: bool = False,
+    glob: str = "*.jsonl",
 ) -> tuple[int, dict[str, str]]:
     """Parse the stale files of all sources and save them; returns rows saved and failures.
 
@@ -108,7 +115,7 @@ def ingest(
     """
     sources, spark = list(sources), store.spark
     listed = [
-        list_files(spark, s.path).withColumn("_source", F.lit(i)) for i, s in enumerate(sources)
+        list_files(spark, s.path, glob).withColumn("_source", F.lit(i)) for i, s in enumerate(sources)
     ]
     current = settle(union_all(listed), "files")
     status = settle(stale_files(current.drop("_source"), store.read("manifest")), "stale")
@@ -119,7 +126,7 @@ def ingest(
         if files.isEmpty():
             continue
         try:
-            lines = with_keys(scan_logs(spark, source.path), files, ["file_path"])
+            lines = with_keys(scan_logs(spark, source.path, glob), files, ["file_path"])
             facts = parse_source(lines, source, now, tz)
             saved += save_files(store, facts, now) if aggregate else save_full(store, facts, now)
         except Exception as error:
@@ -136,7 +143,14 @@ def ingest(
     return saved, failures
 
 
-def rebuild(store: Store, sources: Iterable[Source], now: Column, tag: str, tz: str = "UTC") -> int:
+def rebuild(
+    store: Store,
+    sources: Iterable[Source],
+    now: Column,
+    tag: str,
+    tz: str = "UTC",
+    glob: str = "*.jsonl",
+) -> int:
     """Replace the rows of every session still in the logs by a fresh ingest.
 
     Sessions whose logs are gone keep their rows. The facts are copied aside first, and pushes
@@ -146,7 +160,7 @@ def rebuild(store: Store, sources: Iterable[Source], now: Column, tag: str, tz:
     store.replace("sync_state", set_state(store.read("sync_state"), {f"server.{GUARD}": "1"}))
     saved = 0
     for source in sources:
-        facts = settle(parse_source(scan_logs(store.spark, source.path), source, now, tz), "facts")
+        facts = settle(parse_source(scan_logs(store.spark, source.path, glob), source, now, tz), "facts")
         sessions = facts.select("session_id").distinct()
         usage = store.read("usage")
         days = settle(
@@ -155,9 +169,22 @@ def rebuild(store: Store, sources: Iterable[Source], now: Column, tag: str, tz:
             .distinct(),
             "days",
         )
-        # The facts are rewritten as a whole: a day that loses all rows must disappear.
-        store.replace("usage", delete_sessions(usage, sessions, source.device_id))
-        saved += save_full(store, facts, now)
+        left = delete_sessions(usage, sessions, source.device_id)
+        _, changes, added, first = _changes(left, facts, None)
+        days = settle(
+            days.union(changes.select("date")).union(added.select("date")).distinct(), "days"
+        )
+        rewritten = settle(
+            apply_upgrades(with_keys(left, days, ["date"]), changes, first + 1).unionByName(added),
+            "rewritten",
+        )
+        if without_keys(days, rewritten, ["date"]).isEmpty():
+            store.replace_partitions("usage", rewritten)
+        else:
+            # A day that lost all its rows has to disappear, so the table is written as a whole.
+            rest = without_keys(usage, days, ["date"])
+            store.replace("usage", rest.unionByName(rewritten))
+        saved += added.count()
         daily = recompute_daily(store.read("usage"), store.read("daily"), days, now)
         store.replace("daily", daily)
     return saved
@@ -183,6 +210,4 @@ def close_gaps(store: Store, today: date, now: Column) -> int:
 
 def save_pricing(store: Store, prices: DataFrame) -> None:
     """Insert or replace prices by model."""
-    from sparkmeter.sources.pricing import upsert_pricing
-
     store.replace("pricing", upsert_pricing(conform(prices, PRICING), store.read("pricing")))
