@@ -261,7 +261,7 @@ def sessions_deleted(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _transcript_tree(spark: SparkSession, facts: DataFrame) -> str:
+def transcript_tree(spark: SparkSession, facts: DataFrame) -> str:
     """Facts as a tree of transcripts that restore them."""
     line = F.to_json(
         F.struct(
@@ -296,11 +296,14 @@ def _transcript_tree(spark: SparkSession, facts: DataFrame) -> str:
 
 # A store with facts of d0 and d1 whose logs now hold sessions of d1 with other counters.
 _REBUILD = {
-    "stored": "SELECT * FROM deduped WHERE device_id IN ('d0', 'd1')",
+    "stored": "SELECT * FROM deduped WHERE device_id IN ('d0', 'd1') QUALIFY row_number() OVER"
+    " (PARTITION BY message_uuid, CASE WHEN message_type = 'user' THEN session_id END"
+    " ORDER BY ts DESC, id) = 1",
     "logs": "SELECT * REPLACE (input_tokens + 1 AS input_tokens, total_tokens + 1 AS total_tokens)"
-    " FROM deduped WHERE device_id = 'd1' AND message_type = 'assistant' AND model = 'model-b'",
+    " FROM stored WHERE device_id = 'd1' AND message_type = 'assistant' AND model = 'model-b'",
     "kept": "SELECT * FROM stored WHERE NOT (device_id = 'd1' AND session_id IN"
     " (SELECT session_id FROM logs))",
+    "added": "SELECT * FROM logs WHERE message_uuid NOT IN (SELECT message_uuid FROM kept)",
 }
 
 
@@ -311,7 +314,7 @@ def _rebuilt(spark: SparkSession, sf: str) -> Store:
     logs = facts.filter(
         "device_id = 'd1' AND message_type = 'assistant' AND model = 'model-b'"
     ).withColumn("input_tokens", F.col("input_tokens") + 1)
-    source = Source(_transcript_tree(spark, logs), "claude", "d1", "Device 1", "windows")
+    source = Source(transcript_tree(spark, logs), "claude", "d1", "Device 1", "windows")
     rebuild(store, [source], now(), "before-rebuild", glob="*.txt")
     return store
 
@@ -320,7 +323,7 @@ def _rebuilt(spark: SparkSession, sf: str) -> Store:
     "rebuild",
     with_ctes(
         "deduped",
-        _facts_sql("(SELECT * FROM kept UNION ALL SELECT * FROM logs)"),
+        _facts_sql("(SELECT * FROM kept UNION ALL SELECT * FROM added)"),
         **_REBUILD,
     ),
 )
@@ -333,7 +336,7 @@ def rebuilt(spark: SparkSession, sf: str) -> DataFrame:
     with_ctes(
         "deduped",
         f"SELECT {day_sql()}, {MEASURES_SQL} FROM (SELECT * FROM kept UNION ALL"
-        " SELECT * FROM logs) GROUP BY date",
+        " SELECT * FROM added) GROUP BY date",
         **_REBUILD,
     ),
 )
@@ -410,7 +413,7 @@ def _tree(spark: SparkSession, sf: str, condition: str, copies: int) -> DataFram
 
 @query(
     "merge_log_trees",
-    "WITH l AS (SELECT event_id % 20 AS f, event_id % 10 AS d, " + _TREE_LINE + " AS value,"
+    "WITH l AS (SELECT event_id % 20 AS f, event_id // 20 % 10 AS d, " + _TREE_LINE + " AS value,"
     " event_id % 97 <> 0 AS valid, event_id % 97 <> 0 AND event_id % 50 <> 7 AS named FROM events),"
     " host AS (SELECT * FROM l WHERE d < 6 AND f < 15), inc AS (SELECT * FROM l WHERE d >= 3)"
     " SELECT 'append' AS action, count(DISTINCT f) AS files, count(*) AS records FROM (SELECT"
@@ -419,8 +422,8 @@ def _tree(spark: SparkSession, sf: str, condition: str, copies: int) -> DataFram
     " 2 * count(*) FILTER (valid) FROM inc WHERE f NOT IN (SELECT f FROM host)",
 )
 def merged(spark: SparkSession, sf: str) -> DataFrame:
-    host = _tree(spark, sf, "event_id % 10 < 6 AND event_id % 20 < 15", 1)
-    incoming = _tree(spark, sf, "event_id % 10 >= 3", 2)
+    host = _tree(spark, sf, "event_id DIV 20 % 10 < 6 AND event_id % 20 < 15", 1)
+    incoming = _tree(spark, sf, "event_id DIV 20 % 10 >= 3", 2)
     return merge_summary(merge_log_trees(host, incoming))
 
 
@@ -525,7 +528,7 @@ def status(spark: SparkSession, sf: str) -> DataFrame:
 def ingest_twice(spark: SparkSession, sf: str) -> DataFrame:
     # The second run finds no stale file and saves nothing.
     facts = usage(spark, sf)
-    store, source = _store(spark), Source(_transcript_tree(spark, facts), "claude", "d", "D", "linux")
+    store, source = _store(spark), Source(transcript_tree(spark, facts), "claude", "d", "D", "linux")
     ingest(store, [source], now(), glob="*.txt")
     again, _ = ingest(store, [source], now(), glob="*.txt")
     return (

@@ -405,7 +405,7 @@ def date_bounds(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-_LAKE = (
+LAKE_SQL = (
     "SELECT date, device_id, coalesce(model, '<none>') AS model, coalesce(folder, '') AS folder,"
     " coalesce(git_branch, '') AS git_branch, count(*) AS records,"
     " count(DISTINCT session_id) AS sessions, " + SUMS_SQL + " FROM usage GROUP BY 1, 2, 3, 4, 5"
@@ -414,7 +414,7 @@ _LAKE = (
 
 @query(
     "usage_daily",
-    with_ctes("usage", f"SELECT * REPLACE (CAST(date AS VARCHAR) AS date) FROM ({_LAKE})"),
+    with_ctes("usage", f"SELECT * REPLACE (CAST(date AS VARCHAR) AS date) FROM ({LAKE_SQL})"),
 )
 def usage_daily(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.usage_daily(usage(spark, sf), now()).withColumn("date", day()).drop(
@@ -469,7 +469,7 @@ def _measures(spark: SparkSession, sf: str, by: list[str]) -> DataFrame:
         "usage price",
         f"SELECT model, git_branch, {_MEASURES} FROM lake LEFT JOIN price ON model = model_name"
         " GROUP BY model, git_branch",
-        lake=_LAKE,
+        lake=LAKE_SQL,
     ),
 )
 def measures(spark: SparkSession, sf: str) -> DataFrame:
@@ -483,7 +483,7 @@ def measures(spark: SparkSession, sf: str) -> DataFrame:
         f"SELECT a.subscription, CAST(date AS VARCHAR) AS date, {_MEASURES} FROM lake"
         " LEFT JOIN price ON model = model_name LEFT JOIN accounts a USING (device_id)"
         " GROUP BY a.subscription, date",
-        lake=_LAKE,
+        lake=LAKE_SQL,
     ),
 )
 def measures_by_account(spark: SparkSession, sf: str) -> DataFrame:

@@ -36,6 +36,7 @@ def ingest_stream(
     files_per_trigger: int | None = None,
     interval: str | None = None,
     then: Callable[[Store], None] | None = None,
+    glob: str = "*.jsonl",
 ) -> StreamingQuery:
     """Save every new file of a source; ``then`` runs after each saved batch.
 
@@ -51,7 +52,7 @@ def ingest_stream(
             then(store)
 
     writer = (
-        stream_logs(store.spark, source.path, files_per_trigger=files_per_trigger)
+        stream_logs(store.spark, source.path, glob, files_per_trigger)
         .writeStream.foreachBatch(save)
         .option("checkpointLocation", checkpoint)
     )
@@ -68,6 +69,7 @@ def dashboard_stream(
     show: Callable[[DataFrame], None],
     interval: str | None = REFRESH,
     tz: str = "UTC",
+    glob: str = "*.jsonl",
 ) -> StreamingQuery:
     """Ingest and show the key figures of the whole store after every batch.
 
@@ -75,8 +77,14 @@ def dashboard_stream(
     running aggregate of the raw stream could not give while responses may be repeated.
     """
     return ingest_stream(
-        store, source, checkpoint, now, tz, interval=interval,
+        store,
+        source,
+        checkpoint,
+        now,
+        tz,
+        interval=interval,
         then=lambda s: show(kpis(s.read("usage"))),
+        glob=glob,
     )
 
 
