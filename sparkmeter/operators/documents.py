@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkmeter.functions.text import UNICODE, count_matches
+from sparkmeter.functions.text import UNICODE, count_matches, required_literal
 from sparkmeter.operators.skew import spread_join
 
 # Topics as (key, name, first question) and their patterns on lower-case text.
@@ -96,12 +96,13 @@ def topic_coverage(docs: DataFrame) -> DataFrame:
             F.struct(
                 F.lit(key).alias("topic"),
                 F.lit(name).alias("name"),
-                count_matches(F.col("content"), TOPIC_PATTERNS[key]).alias("matches"),
+                count_matches(F.col("_lower"), TOPIC_PATTERNS[key]).alias("matches"),
             )
             for key, name, _ in TOPICS
         ]
     )
-    return docs.select("path", F.explode(topics).alias("t")).select(
+    lowered = docs.select("path", F.lower("content").alias("_lower"))
+    return lowered.select("path", F.explode(topics).alias("t")).select(
         "path",
         "t.*",
         F.when(F.col("t.matches") >= STRONG, "strong")
@@ -118,7 +119,10 @@ def vague_phrases(docs: DataFrame) -> DataFrame:
         *[
             F.struct(
                 F.lit(i).alias("phrase_no"),
-                F.regexp_extract(lowered, UNICODE + pattern, 0).alias("found"),
+                F.when(
+                    F.contains(lowered, F.lit(required_literal(pattern))),
+                    F.regexp_extract(lowered, UNICODE + pattern, 0),
+                ).alias("found"),
                 F.lit(question).alias("question"),
             )
             for i, (pattern, question) in enumerate(VAGUE)

@@ -21,8 +21,8 @@ def without_keys(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def with_keys(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of ``df`` whose keys occur in ``other``."""
-    return df.alias("l").join(other.select(*keys).alias("r"), same_keys("l", "r", keys), "left_semi")
+    """Rows of ``df`` whose keys occur in ``other``; null keys do not."""
+    return df.join(other.select(*keys), keys, "left_semi")
 
 
 def upsert(

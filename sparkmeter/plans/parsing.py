@@ -535,7 +535,8 @@ _CHANGED = "CASE WHEN o_orderkey % 10 = 3 THEN 1 ELSE 0 END"
 )
 def stale(spark: SparkSession, sf: str) -> DataFrame:
     current = _files(spark, sf, "o_orderkey % 10 <> 2", _CHANGED).drop("record_count", "last_parsed")
-    return stale_files(current, _files(spark, sf, "o_orderkey % 10 <> 1"))
+    status = stale_files(current, _files(spark, sf, "o_orderkey % 10 <> 1"))
+    return status.select("file_path", "status")
 
 
 @query(

@@ -67,10 +67,11 @@ def list_files(spark: SparkSession, path: str, glob: str = "*.jsonl") -> DataFra
         .option("pathGlobFilter", glob)
         .load(path)
     )
+    # The metadata comes from the listing, so it stays what it was when this was called.
     return files.select(
-        plain_path(F.col("path")).alias("file_path"),
-        (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"),
-        F.col("length").alias("size_bytes"),
+        plain_path(F.col("_metadata.file_path")).alias("file_path"),
+        (F.unix_micros("_metadata.file_modification_time") * 1000).alias("mtime_ns"),
+        F.col("_metadata.file_size").alias("size_bytes"),
     )
 
 

@@ -10,13 +10,17 @@ from sparkmeter.schemas import MANIFEST, conform
 
 
 def stale_files(current: DataFrame, manifest: DataFrame) -> DataFrame:
-    """``file_path`` and ``status``: new, modified, unchanged or deleted."""
+    """The current files, and those the manifest knows beside them, with their ``status``.
+
+    new, modified (time or size differs), unchanged or deleted (then only the path is known).
+    """
     now, then = current.alias("now"), manifest.alias("then")
     changed = (F.col("now.mtime_ns") != F.col("then.mtime_ns")) | (
         F.col("now.size_bytes") != F.col("then.size_bytes")
     )
     return now.join(then, F.col("now.file_path") == F.col("then.file_path"), "full_outer").select(
         F.coalesce("now.file_path", "then.file_path").alias("file_path"),
+        *[F.col(f"now.{c}").alias(c) for c in current.columns if c != "file_path"],
         F.when(F.col("then.file_path").isNull(), "new")
         .when(F.col("now.file_path").isNull(), "deleted")
         .when(changed, "modified")
@@ -26,8 +30,8 @@ def stale_files(current: DataFrame, manifest: DataFrame) -> DataFrame:
 
 
 def needs_parsing(stale: DataFrame) -> DataFrame:
-    """Paths of new and modified files."""
-    return stale.filter(F.col("status").isin("new", "modified")).select("file_path")
+    """New and modified files."""
+    return stale.filter(F.col("status").isin("new", "modified"))
 
 
 def update_manifest(

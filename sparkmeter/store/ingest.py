@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkmeter.operators.calendar import fill_gaps, missing_days
@@ -43,9 +44,12 @@ from sparkmeter.sources.manifest import (
 )
 from sparkmeter.sources.pricing import upsert_pricing
 from sparkmeter.sources.registry import Source, parse_source, union_all
-from sparkmeter.store.tables import Store
+from sparkmeter.store.tables import Store, on_days
 
 POSITION = ["file_path", "chunk", "pos"]
+#: Up to this many stale files are read by their paths.
+LISTED_FILES = 10_000
+GLOB_CHARS = re.compile(r"([\[\]{}*?\\])")
 
 
 def save_full(
@@ -57,27 +61,31 @@ def save_full(
     changes nothing. Returns the number of rows added.
     """
     usage = store.read("usage")
-    gated, changes, added, first = _changes(usage, staging, tiebreak)
-    days = changes.select("date").distinct()
+    gated, changes, first = _changes(usage, staging, tiebreak)
+    store.append("usage", number_rows(new_rows(gated, usage), F.lit(first)))
     if not changes.isEmpty():
-        rewritten = apply_upgrades(with_keys(usage, days, ["date"]), changes, first + 1)
-        store.replace_partitions("usage", rewritten)
-    store.append("usage", added)
+        held = on_days(store.read("usage"), changes)
+        store.replace_partitions("usage", apply_upgrades(held, changes, F.lit(first + 1)))
 
-    touched = settle(days.union(gated.select("date")).distinct(), "days")
-    store.replace("daily", refresh_daily(store.read("usage"), store.read("daily"), touched, now))
-    return added.count()
+    touched = changes.select("date").union(gated.select("date")).distinct()
+    held = store.read("usage")
+    store.replace(
+        "daily", refresh_daily(on_days(held, touched), store.read("daily"), touched, now)
+    )
+    return held.filter(F.col("id") > first).count()
 
 
 def _changes(
     usage: DataFrame, staging: DataFrame, tiebreak: list[str] | None
-) -> tuple[DataFrame, DataFrame, DataFrame, Column]:
-    """The gated batch, the upgrades and the new rows it brings, and the last number used."""
+) -> tuple[DataFrame, DataFrame, int]:
+    """The gated batch, the upgrades it brings, and the last number used.
+
+    Both frames are written aside: the batch is parsed once, and the upgrades do not depend on
+    the facts they change.
+    """
     gated = settle(conform(batch_gate(staging, tiebreak or POSITION), USAGE), "gated")
-    first = F.lit(last_sequence(usage).collect()[0]["last"])
-    changes = settle(upgrades(usage, gated), "upgrades")
-    added = settle(number_rows(new_rows(gated, usage), first), "added")
-    return gated, changes, added, first
+    first = last_sequence(usage).collect()[0]["last"]
+    return gated, settle(upgrades(usage, gated), "upgrades"), first
 
 
 def save_daily(store: Store, batch: DataFrame, now: Column) -> int:
@@ -115,18 +123,28 @@ def ingest(
     """
     sources, spark = list(sources), store.spark
     listed = [
-        list_files(spark, s.path, glob).withColumn("_source", F.lit(i)) for i, s in enumerate(sources)
+        list_files(spark, s.path, glob).withColumn("_source", F.lit(i))
+        for i, s in enumerate(sources)
     ]
-    current = settle(union_all(listed), "files")
-    status = settle(stale_files(current.drop("_source"), store.read("manifest")), "stale")
-    stale = current if force else with_keys(current, needs_parsing(status), ["file_path"])
+    status = settle(stale_files(union_all(listed), store.read("manifest")), "stale")
+    present = F.col("status") != "deleted"
+    stale = status.filter(present) if force else needs_parsing(status)
+    counts = {
+        row["_source"]: (row["files"], row["stale"])
+        for row in stale.withColumn("_stale", F.lit(1))
+        .unionByName(status.filter(present), allowMissingColumns=True)
+        .groupBy("_source")
+        .agg(F.count_if(F.col("_stale").isNull()).alias("files"), F.sum("_stale").alias("stale"))
+        .collect()
+    }
     saved, failures = 0, {}
     for i, source in enumerate(sources):
-        files = stale.filter(F.col("_source") == i).drop("_source")
-        if files.isEmpty():
+        files, changed = counts.get(i, (0, None))
+        if not changed:
             continue
+        mine = stale.filter(F.col("_source") == i)
         try:
-            lines = with_keys(scan_logs(spark, source.path, glob), files, ["file_path"])
+            lines = stale_lines(spark, source.path, glob, mine, changed, changed == files)
             facts = parse_source(lines, source, now, tz)
             saved += save_files(store, facts, now) if aggregate else save_full(store, facts, now)
         except Exception as error:
@@ -134,15 +152,30 @@ def ingest(
             continue
         store.replace(
             "manifest",
-            update_manifest(store.read("manifest"), files.select("file_path"), files, now),
+            update_manifest(store.read("manifest"), mine.select("file_path"), mine, now),
         )
-    if not force:
-        gone = status.filter(F.col("status") == "deleted")
-        if not gone.isEmpty():
-            store.replace("manifest", prune_manifest(store.read("manifest"), gone))
+    gone = status.filter(~present)
+    if not force and not gone.isEmpty():
+        store.replace("manifest", prune_manifest(store.read("manifest"), gone))
     return saved, failures
 
 
+def stale_lines(
+    spark: SparkSession, path: str, glob: str, files: DataFrame, count: int, whole: bool
+) -> DataFrame:
+    """Lines of the stale files of one source, without reading the others where that is possible.
+
+    A few files are read by path. When all are stale the tree is read as it is; in between, a
+    semi-join picks the lines.
+    """
+    if whole:
+        return scan_logs(spark, path, glob)
+    if count <= LISTED_FILES:
+        names = [r["file_path"] for r in files.select("file_path").limit(count).collect()]
+        return scan_logs(spark, [GLOB_CHARS.sub(r"\\\1", n) for n in names], glob)
+    return with_keys(scan_logs(spark, path, glob), files, ["file_path"])
+
+
 def rebuild(
     store: Store,
     sources: Iterable[Source],
@@ -170,12 +203,13 @@ def rebuild(
             "days",
         )
         left = delete_sessions(usage, sessions, source.device_id)
-        _, changes, added, first = _changes(left, facts, None)
+        gated, changes, first = _changes(left, facts, None)
+        added = settle(number_rows(new_rows(gated, left), F.lit(first)), "added")
         days = settle(
             days.union(changes.select("date")).union(added.select("date")).distinct(), "days"
         )
         rewritten = settle(
-            apply_upgrades(with_keys(left, days, ["date"]), changes, first + 1).unionByName(added),
+            apply_upgrades(on_days(left, days), changes, F.lit(first + 1)).unionByName(added),
             "rewritten",
         )
         if without_keys(days, rewritten, ["date"]).isEmpty():
@@ -185,8 +219,8 @@ def rebuild(
             rest = without_keys(usage, days, ["date"])
             store.replace("usage", rest.unionByName(rewritten))
         saved += added.count()
-        daily = recompute_daily(store.read("usage"), store.read("daily"), days, now)
-        store.replace("daily", daily)
+        held = on_days(store.read("usage"), days)
+        store.replace("daily", recompute_daily(held, store.read("daily"), days, now))
     return saved
 
 

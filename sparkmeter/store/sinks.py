@@ -15,11 +15,10 @@ from pyspark.sql import functions as F
 
 from sparkmeter.operators import push
 from sparkmeter.operators.filters import device_filter
-from sparkmeter.operators.metrics import devices_dim
-from sparkmeter.operators.upsert import with_keys
+from sparkmeter.operators.metrics import devices_dim, usage_daily
 from sparkmeter.schemas import LIMITS, conform
 from sparkmeter.session import settle
-from sparkmeter.store.tables import Store
+from sparkmeter.store.tables import Store, on_days
 
 
 @dataclass(frozen=True)
@@ -69,13 +68,12 @@ def push_lake(
 
     stamp, new_records = F.lit(now).cast("timestamp"), 0
     if plan["new_usage"] or full:
-        batch = settle(
-            push.affected_day_batch(usage, plan["wm_id"], stamp, devices, by_update), "batch"
-        )
-        days = batch.select("date").distinct()
-        held = with_keys(target.read("usage_daily"), days, ["date"])
+        fresh = push.source_rows(usage, plan["wm_id"], devices, by_update)
+        rows = on_days(device_filter(usage, devices), fresh)
+        batch = settle(usage_daily(rows, stamp), "batch")
+        held = on_days(target.read("usage_daily"), batch)
         target.replace_partitions("usage_daily", push.push_daily(held, batch))
-        new_records = push.source_rows(usage, plan["wm_id"], devices, by_update).count()
+        new_records = fresh.count()
     done = {push.WATERMARK: _text(plan["max_id"])}
 
     side: dict[str, Callable[[], None]] = {

@@ -1,8 +1,8 @@
 """Tables of a store as Parquet folders.
 
-Facts and daily facts are partitioned by day. One writer per store is assumed. Every change is
-computed into the shared scratch folder first and only then written, so a job that loses
-executors re-reads files, and a job that is repeated changes nothing more: all changes are keyed.
+Facts and daily facts are partitioned by day; one writer per store is assumed. Whole days are
+replaced when the job that wrote them commits, so a job that loses executors leaves the old rows
+in place. All changes are keyed, so a job that is repeated changes nothing more.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkmeter import schemas
@@ -63,11 +64,14 @@ class Store:
         self._write(table, rows, "append", "dynamic")
 
     def replace_partitions(self, table: str, rows: DataFrame) -> None:
-        """Write whole days: the days in ``rows`` are replaced, all others stay."""
-        self._write(table, settle(rows, table), "overwrite", "dynamic")
+        """Write whole days: the days in ``rows`` are replaced, all others stay.
+
+        ``rows`` may read the days it replaces: the new files are moved in after the last task.
+        """
+        self._write(table, rows, "overwrite", "dynamic")
 
     def replace(self, table: str, rows: DataFrame) -> None:
-        """Replace the whole table."""
+        """Replace the whole table; the rows are written aside first, as they may read it."""
         self._write(table, settle(rows, table), "overwrite", "static")
 
     def _write(self, table: str, rows: DataFrame, mode: str, overwrite: str) -> None:
@@ -91,6 +95,14 @@ class Store:
         else:
             self.replace(table, rows.hint("rebalance"))
 
-    def compact_days(self, table: str, days: DataFrame) -> None:
-        """Rewrite only the listed days of a partitioned table."""
-        self.replace_partitions(table, self.read(table).join(days, "date", "left_semi"))
+
+def on_days(df: DataFrame, days: DataFrame, listed: int = 4000) -> DataFrame:
+    """Rows of the given days, so that only their partitions are read.
+
+    Days are few: up to ``listed`` of them become a filter that prunes partitions before the
+    scan. Should there be more, a semi-join selects the same rows.
+    """
+    values = [r["date"] for r in days.select("date").distinct().limit(listed + 1).collect()]
+    if len(values) > listed:
+        return df.join(days.select("date"), "date", "left_semi")
+    return df.filter(F.col("date").isin(values))
