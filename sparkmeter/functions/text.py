@@ -60,19 +60,20 @@ def required_literal(pattern: str) -> str:
     return max(pattern.split("\0"), key=len)
 
 
-def count_matches(text: Column, patterns: list[str], any_guard: bool = False) -> Column:
-    """Sum of the matches of every pattern on lower-case text, 0 for null.
+def count_matches(lowered: Column, patterns: list[str], any_guard: bool = False) -> Column:
+    """Sum of the matches of every pattern in a lower-case text, 0 for null.
 
     Overlapping patterns each count. A pattern runs only on texts that contain its literal part,
     which is a plain byte search. ``any_guard`` first tests all patterns (which must start at a
     word boundary) in one expression; that pays for many patterns with short literals.
     """
-    lowered = F.lower(text)
 
     def count(pattern: str) -> Column:
         matches = F.regexp_count(lowered, F.lit(UNICODE + pattern))
         literal = required_literal(pattern)
-        return F.when(F.contains(lowered, F.lit(literal)), matches).otherwise(0) if literal else matches
+        if not literal:
+            return matches
+        return F.when(F.contains(lowered, F.lit(literal)), matches).otherwise(0)
 
     total = reduce(add, [count(p) for p in patterns])
     if any_guard:
@@ -82,23 +83,23 @@ def count_matches(text: Column, patterns: list[str], any_guard: bool = False) ->
 
 
 def count_profanity(text: Column) -> Column:
-    return count_matches(text, PROFANITY, any_guard=True)
+    return count_matches(F.lower(text), PROFANITY, any_guard=True)
 
 
 def count_perfect(text: Column) -> Column:
-    return count_matches(text, PERFECT)
+    return count_matches(F.lower(text), PERFECT)
 
 
 def count_absolutely_right(text: Column) -> Column:
-    return count_matches(text, ABSOLUTELY_RIGHT)
+    return count_matches(F.lower(text), ABSOLUTELY_RIGHT)
 
 
 def count_thanks(text: Column) -> Column:
-    return count_matches(text, THANKS)
+    return count_matches(F.lower(text), THANKS)
 
 
 def count_please(text: Column) -> Column:
-    return count_matches(text, PLEASE)
+    return count_matches(F.lower(text), PLEASE)
 
 
 def char_count(text: Column) -> Column:

@@ -91,18 +91,20 @@ def extract_imports(docs: DataFrame) -> DataFrame:
 
 def topic_coverage(docs: DataFrame) -> DataFrame:
     """Matches and strength of each topic per document: strong, weak or none."""
+    # Lower-casing and counting are steps of their own, so that each text is lowered once.
+    lowered = docs.select("path", F.lower("content").alias("_lower"))
+    counted = lowered.select(
+        "path", *[count_matches(F.col("_lower"), TOPIC_PATTERNS[k]).alias(k) for k, _, _ in TOPICS]
+    )
     topics = F.array(
         *[
             F.struct(
-                F.lit(key).alias("topic"),
-                F.lit(name).alias("name"),
-                count_matches(F.col("_lower"), TOPIC_PATTERNS[key]).alias("matches"),
+                F.lit(key).alias("topic"), F.lit(name).alias("name"), F.col(key).alias("matches")
             )
             for key, name, _ in TOPICS
         ]
     )
-    lowered = docs.select("path", F.lower("content").alias("_lower"))
-    return lowered.select("path", F.explode(topics).alias("t")).select(
+    return counted.select("path", F.explode(topics).alias("t")).select(
         "path",
         "t.*",
         F.when(F.col("t.matches") >= STRONG, "strong")
@@ -114,7 +116,7 @@ def topic_coverage(docs: DataFrame) -> DataFrame:
 
 def vague_phrases(docs: DataFrame) -> DataFrame:
     """First match of every vague phrase with its question, in the order of the phrases."""
-    lowered = F.lower("content")
+    lowered = F.col("_lower")
     hits = F.array(
         *[
             F.struct(
@@ -128,7 +130,7 @@ def vague_phrases(docs: DataFrame) -> DataFrame:
             for i, (pattern, question) in enumerate(VAGUE)
         ]
     )
-    return docs.select(
+    return docs.select("path", F.lower("content").alias("_lower")).select(
         "path", F.explode(F.filter(hits, lambda h: h["found"] != "")).alias("h")
     ).select("path", "h.*")
 

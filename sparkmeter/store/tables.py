@@ -104,5 +104,5 @@ def on_days(df: DataFrame, days: DataFrame, listed: int = 4000) -> DataFrame:
     """
     values = [r["date"] for r in days.select("date").distinct().limit(listed + 1).collect()]
     if len(values) > listed:
-        return df.join(days.select("date"), "date", "left_semi")
+        return df.join(days.select("date"), "date", "left_semi").select(df.columns)
     return df.filter(F.col("date").isin(values))
