@@ -600,14 +600,18 @@ def written(spark: SparkSession, sf: str) -> DataFrame:
     "built_in_prices",
     with_ctes(
         "line_usage",
-        "SELECT folder, round(sum(input_tokens) / 1000000 * 3.0 + sum(output_tokens) / 1000000 * 15.0"
-        " + sum(cache_read_tokens) / 1000000 * 0.3, 8) AS cost FROM line_usage GROUP BY folder",
+        "SELECT folder, round(sum(input_tokens) / 1000000 * i + sum(output_tokens) / 1000000 * o"
+        " + sum(cache_read_tokens) / 1000000 * r, 8) AS cost FROM line_usage JOIN (VALUES"
+        " (0, 3.0, 15.0, 0.3), (1, 5.0, 30.0, 0.5)) AS v(k, i, o, r)"
+        " ON CAST(string_split(folder, '/')[3] AS INT) % 2 = k GROUP BY folder, i, o, r",
     ),
 )
 def built_in(spark: SparkSession, sf: str) -> DataFrame:
     sums = line_usage(spark, sf).groupBy("folder").agg(*[F.sum(c).alias(c) for c in COUNTERS])
-    price = load_pricing(spark, None, now()).filter("model_name = 'claude-sonnet-4-6'")
-    rows = sums.withColumn("model_name", F.lit("claude-sonnet-4-6")).join(price, "model_name")
-    return rows.select(
+    odd = F.substring_index("folder", "/", -1).cast("int") % 2 == 1
+    named = sums.withColumn(
+        "model_name", F.when(odd, "gpt-5.5").otherwise("claude-sonnet-4-6")
+    )
+    return named.join(load_pricing(spark, None, now()), "model_name").select(
         "folder", F.round(token_cost(F.col("cache_write_1h_price")), 8).alias("cost")
     )

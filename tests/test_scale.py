@@ -31,7 +31,7 @@ from sparkmeter.operators.ranking import global_row_number
 from sparkmeter.operators.skew import spread_join
 from sparkmeter.operators.upsert import assign_ids
 from sparkmeter.plans.inputs import table, usage
-from sparkmeter.session import scratch_path, settle
+from sparkmeter.session import scratch_path
 from sparkmeter.store.tables import Store
 
 
@@ -228,13 +228,23 @@ def test_top_n_needs_no_full_sort(spark, sf):
     assert "TakeOrderedAndProject" in plan_of(entry.queries()["top_projects"](spark, sf))
 
 
-def test_scratch_follows_the_session_setting(spark, tmp_path):
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-    try:
-        assert scratch_path(spark, "x").startswith(str(tmp_path))
-        assert settle(spark.range(3), "x").count() == 3
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+class Session:
+    """What ``scratch_path`` asks a session for."""
+
+    def __init__(self, setting, master="spark://host:7077"):
+        self.conf, self.sparkContext, self.setting, self.master = self, self, setting, master
+
+    def get(self, key, default):
+        return self.setting if key == "spark.checkpoint.dir" else default
+
+    def getCheckpointDir(self):
+        return None
+
+
+def test_scratch_follows_the_session_setting():
+    assert scratch_path(Session("hdfs:///shared/cp/"), "x").startswith("hdfs:///shared/cp/x-")
+    with pytest.raises(RuntimeError):
+        scratch_path(Session(None), "x")
 
 
 def test_registered_tables_are_read_whole(sf, spark):
