@@ -227,6 +227,17 @@ def kpis(usage: DataFrame) -> DataFrame:
     )
 
 
+def rollup_kpis(daily: DataFrame) -> DataFrame:
+    """Key figures from the rollup alone; sessions are the sum of the daily distinct counts."""
+    active = (F.col("prompts") > 0) | (F.col("responses") > 0)
+    return daily.agg(
+        F.coalesce(F.sum("total_tokens"), F.lit(0)).alias("tokens"),
+        F.coalesce(F.sum("prompts"), F.lit(0)).alias("prompts"),
+        F.coalesce(F.sum("sessions"), F.lit(0)).alias("sessions_daily_sum"),
+        F.count_if(active).alias("active_days"),
+    )
+
+
 def date_bounds(usage: DataFrame) -> DataFrame:
     """First and last active day."""
     return usage.agg(F.min("date").alias("first_date"), F.max("date").alias("last_date"))

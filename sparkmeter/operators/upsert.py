@@ -55,7 +55,7 @@ def assign_ids(
     get the same numbers.
     """
     placed = df.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
-    # One row per bucket, so this window without partitions is bounded.
+    # One row per bucket: bounded for this window without partitions and for the broadcast.
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         placed.groupBy("_bucket")
@@ -63,7 +63,9 @@ def assign_ids(
         .select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     )
     inside = Window.partitionBy("_bucket").orderBy(*keys)
-    numbered = placed.withColumn("_row", F.row_number().over(inside)).join(starts, "_bucket")
+    numbered = placed.withColumn("_row", F.row_number().over(inside)).join(
+        F.broadcast(starts), "_bucket"
+    )
     return numbered.withColumn(
         name, (F.coalesce(start, F.lit(0)) + F.col("_start") + F.col("_row")).cast("bigint")
     ).drop("_bucket", "_row", "_start")

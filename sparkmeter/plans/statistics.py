@@ -20,6 +20,7 @@ from sparkmeter.plans.inputs import (
     daily,
     day,
     day_sql,
+    line_daily,
     line_usage,
     moment,
     now,
@@ -391,6 +392,19 @@ def kpis(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.kpis(usage(spark, sf))
 
 
+@query(
+    "rollup_kpis",
+    with_ctes(
+        "line_daily",
+        "SELECT CAST(sum(total_tokens) AS BIGINT) AS tokens, CAST(sum(prompts) AS BIGINT) AS prompts,"
+        " CAST(sum(sessions) AS BIGINT) AS sessions_daily_sum, count(*) AS active_days"
+        " FROM line_daily",
+    ),
+)
+def rollup_kpis(spark: SparkSession, sf: str) -> DataFrame:
+    return metrics.rollup_kpis(line_daily(spark, sf))
+
+
 @query(
     "date_bounds",
     with_ctes(

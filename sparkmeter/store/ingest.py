@@ -17,11 +17,11 @@ from sparkmeter.operators.facts import (
     deleted_dates,
     new_rows,
     last_sequence,
-    number_rows,
     upgrades,
 )
 from sparkmeter.operators.metrics import coverage
 from sparkmeter.operators.push import GUARD, set_state
+from sparkmeter.operators.ranking import number_places, with_places
 from sparkmeter.operators.rollup import (
     apply_ledger_delta,
     file_contribution,
@@ -62,7 +62,7 @@ def save_full(
     """
     usage = store.read("usage")
     gated, changes, first = _changes(usage, staging, tiebreak)
-    store.append("usage", number_rows(new_rows(gated, usage), F.lit(first)))
+    store.append("usage", _numbered(new_rows(gated, usage), gated, first))
     if not changes.isEmpty():
         held = on_days(store.read("usage"), changes)
         store.replace_partitions("usage", apply_upgrades(held, changes, F.lit(first + 1)))
@@ -83,11 +83,18 @@ def _changes(
     Both frames are written aside: the batch is parsed once, and the upgrades do not depend on
     the facts they change.
     """
-    gated = settle(conform(batch_gate(staging, tiebreak or POSITION), USAGE), "gated")
+    best = conform(batch_gate(staging, tiebreak or POSITION), USAGE)
+    gated = settle(with_places(best), "gated")
     first = last_sequence(usage).collect()[0]["last"]
     return gated, settle(upgrades(usage, gated), "upgrades"), first
 
 
+def _numbered(fresh: DataFrame, gated: DataFrame, first: int) -> DataFrame:
+    """New facts with ids after ``first``, by their place in the gated batch."""
+    rows = number_places(fresh.drop("id"), gated, F.lit(first), "id")
+    return conform(rows.withColumn("updated_seq", F.col("id")), USAGE)
+
+
 def save_daily(store: Store, batch: DataFrame, now: Column) -> int:
     """Aggregate mode: add the sums of a batch to the rollup. Returns the days touched."""
     store.replace("daily", save_additive(batch, store.read("daily"), now))
@@ -204,7 +211,7 @@ def rebuild(
         )
         left = delete_sessions(usage, sessions, source.device_id)
         gated, changes, first = _changes(left, facts, None)
-        added = settle(number_rows(new_rows(gated, left), F.lit(first)), "added")
+        added = settle(_numbered(new_rows(gated, left), gated, first), "added")
         days = settle(
             days.union(changes.select("date")).union(added.select("date")).distinct(), "days"
         )

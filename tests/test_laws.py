@@ -6,6 +6,7 @@ import datetime as dt
 import json
 
 import pytest
+from pyspark.errors import UnsupportedOperationException
 from pyspark.sql import functions as F
 
 from sparkmeter.operators import push
@@ -31,8 +32,9 @@ from sparkmeter.store.sinks import (
     push_server,
     repair_server,
 )
+from sparkmeter.store.merge import merge_into, retry_commit
 from sparkmeter.store.tables import Store, on_days
-from sparkmeter.streaming.ingest import ingest_stream
+from sparkmeter.streaming.ingest import dashboard_stream, ingest_stream
 
 WHEN = dt.datetime(2024, 3, 1, tzinfo=dt.timezone.utc)
 SHOWN = ["date", "session_id", "message_uuid", "message_type", "total_tokens", "model"]
@@ -93,12 +95,15 @@ def test_upgrade_keeps_first_seen_fields_and_never_shrinks(spark, sf):
     assert new.updated_seq > old.updated_seq
 
 
-def test_ids_are_dense_over_batches(spark, sf):
-    s = store(spark)
-    for batch in batches(spark, sf):
+def test_ids_are_unique_and_follow_earlier_batches(spark, sf):
+    s, tops = store(spark), [0]
+    for batch in colliding(spark, sf):
+        known = {r.id for r in s.read("usage").select("id").collect()}
         save_full(s, batch, now(), ["id"])
-    top = s.read("usage").agg(F.max("id").alias("top"), F.count("*").alias("n"))
-    assert top.collect()[0].top == top.collect()[0].n
+        ids = [r.id for r in s.read("usage").select("id").collect()]
+        assert len(ids) == len(set(ids)) and known <= set(ids)
+        assert all(i > tops[-1] for i in set(ids) - known)
+        tops.append(max(ids))
 
 
 def test_upsert_twice_is_once(spark, sf):
@@ -321,6 +326,43 @@ def test_stream_takes_new_files_once(spark, tmp_path):
     assert total(s) == 10 + 70 + 10 + 10
 
 
+def test_dashboard_from_the_rollup(spark, tmp_path):
+    add(tmp_path / "a.jsonl", line(1), line(2, day=2), line(9, kind="user", session="t"))
+    shown = []
+    dashboard_stream(
+        store(spark), Source(str(tmp_path), "claude"), scratch_path(spark, "cp"), now(),
+        lambda df: shown.append(df.collect()[0].asDict()), interval=None, distinct_sessions=False,
+    ).awaitTermination()
+    assert shown == [{"tokens": 20, "prompts": 1, "sessions_daily_sum": 3, "active_days": 2}]
+
+
+def test_commit_conflicts_are_tried_again():
+    waits, calls = [], []
+
+    class Conflict(Exception):
+        pass
+
+    def commit():
+        calls.append(1)
+        if len(calls) < 3:
+            raise Conflict
+        return "done"
+
+    assert retry_commit(commit, Conflict, wait=waits.append) == "done"
+    assert waits == [1, 2] and len(calls) == 3
+    calls.clear()
+    with pytest.raises(Conflict):
+        retry_commit(lambda: (_ for _ in ()).throw(Conflict()), Conflict, wait=waits.append)
+    with pytest.raises(ValueError):
+        retry_commit(lambda: int("x"), Conflict, wait=waits.append)
+
+
+def test_merge_needs_a_table_format_that_supports_it(spark):
+    spark.sql("CREATE OR REPLACE TEMP VIEW held AS SELECT 1 AS k")
+    with pytest.raises(UnsupportedOperationException):
+        merge_into(spark.range(1).withColumnRenamed("id", "k"), "held", ["k"], True)
+
+
 def test_many_days_fall_back_to_a_join(spark, sf):
     facts = usage(spark, sf)
     days = facts.filter("day(date) < 5").select("date").distinct()
