@@ -62,7 +62,7 @@ def save_full(
     """
     usage = store.read("usage")
     gated, changes, first = _changes(usage, staging, tiebreak)
-    store.append("usage", _numbered(new_rows(gated, usage), gated, first))
+    store.append("usage", _numbered(new_rows(gated, usage), first))
     if not changes.isEmpty():
         held = on_days(store.read("usage"), changes)
         store.replace_partitions("usage", apply_upgrades(held, changes, F.lit(first + 1)))
@@ -83,15 +83,15 @@ def _changes(
     Both frames are written aside: the batch is parsed once, and the upgrades do not depend on
     the facts they change.
     """
-    best = conform(batch_gate(staging, tiebreak or POSITION), USAGE)
-    gated = settle(with_places(best), "gated")
+    gated = settle(conform(batch_gate(staging, tiebreak or POSITION), USAGE), "gated")
     first = last_sequence(usage).collect()[0]["last"]
     return gated, settle(upgrades(usage, gated), "upgrades"), first
 
 
-def _numbered(fresh: DataFrame, gated: DataFrame, first: int) -> DataFrame:
-    """New facts with ids after ``first``, by their place in the gated batch."""
-    rows = number_places(fresh.drop("id"), gated, F.lit(first), "id")
+def _numbered(fresh: DataFrame, first: int) -> DataFrame:
+    """New facts with ids first + 1, first + 2, …, by their places in a written copy."""
+    placed = settle(with_places(fresh.drop("id")), "added")
+    rows = number_places(placed, placed, F.lit(first), "id")
     return conform(rows.withColumn("updated_seq", F.col("id")), USAGE)
 
 
@@ -211,7 +211,7 @@ def rebuild(
         )
         left = delete_sessions(usage, sessions, source.device_id)
         gated, changes, first = _changes(left, facts, None)
-        added = settle(_numbered(new_rows(gated, left), gated, first), "added")
+        added = _numbered(new_rows(gated, left), first)
         days = settle(
             days.union(changes.select("date")).union(added.select("date")).distinct(), "days"
         )
