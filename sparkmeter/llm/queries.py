@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from sparkmeter.llm import line_quality  # noqa: F401
+from sparkmeter.llm import (  # noqa: F401
+    licenses,
+    line_quality,
+)
 from sparkmeter.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
