@@ -5,6 +5,7 @@ from __future__ import annotations
 from sparkmeter.llm import (  # noqa: F401
     licenses,
     line_quality,
+    packing,
     sharding,
 )
 from sparkmeter.llm.registry import ORACLES, QUERIES

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import io
+import tempfile
+import zipfile
 from collections.abc import Callable
+from functools import wraps
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,11 +17,39 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors this package, once per application.
+
+    A driver that finds the package on its own path only would otherwise run tasks that cannot
+    import it. The driver's copy is uploaded by Spark; no executor reads the driver's folder.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parents[1]
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as archive:
+        for path in sorted(root.rglob("*.py")):
+            archive.write(path, Path(root.name) / path.relative_to(root))
+    target = Path(tempfile.mkdtemp(prefix="package-")) / f"{root.name}.zip"
+    target.write_bytes(data.getvalue())
+    spark.sparkContext.addPyFile(str(target))
+    _SHIPPED.add(app)
+
+
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     """Register a query, with the SQL that must give the same rows where SQL can express it."""
 
     def register(function: Query) -> Query:
-        QUERIES[name] = function
+        @wraps(function)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)
+            return function(spark, sf_dir)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = sql
         return function

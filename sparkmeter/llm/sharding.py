@@ -4,9 +4,9 @@ Equal texts are one atomic group. Groups are ordered by the SHA-256 of their tex
 its shard by comparing its own digest with the cuts: no row is joined or moved for it, and a group
 with a third of all rows is one number. The smallest feasible capacity is found by binary search,
 where a capacity is checked by filling shards greedily. The check needs the last group end at or
-before a few positions only. Group ends stay distributed: each round asks Spark for at most
-``BINS`` summary rows per cut, searches with the lower and the upper bound of every answer, and
-narrows to the ranges still open, until the ranges hold single groups.
+before a few positions only. Group ends stay distributed: Spark summarises them into a fixed number
+of bins, the check runs with a lower and an upper bound of every answer, and only where the two
+disagree are the bins that a cut falls into summarised anew.
 
 A null text has no bytes and belongs to the group of the empty text. Repeated rows are separate
 rows of one group. An empty table gives no rows. Input columns other than id and text are ignored.
@@ -15,6 +15,7 @@ rows of one group. An empty table gives no rows. Input columns other than id and
 from __future__ import annotations
 
 from bisect import bisect_right
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,7 +27,7 @@ from sparkmeter.llm.registry import query
 from sparkmeter.session import settle
 
 SHARDS = 16
-#: Summary rows per cut and round, and buckets of rows per shard when slots are numbered.
+#: Summary rows per cut and job, and buckets of rows per shard when slots are numbered.
 BINS = 4096
 #: Digest prefixes by which groups are dealt out for their running sums: 4 hexadecimal digits.
 _PREFIX = 4
@@ -34,43 +35,69 @@ _PREFIX = 4
 
 @dataclass(frozen=True)
 class Bin:
-    """Group ends inside one bin of positions: the first and the last, and how many."""
+    """Group ends between two positions: the first and the last of them, and how many."""
 
     first: int
     last: int
     count: int
 
 
-def _reach(bins: list[Bin], lasts: list[int], firsts: list[int], target: int, upper: bool) -> int:
-    """A bound of the last group end at or before ``target``."""
-    if upper:
-        k = bisect_right(firsts, target) - 1
-        return 0 if k < 0 else min(bins[k].last, target) if bins[k].count > 1 else bins[k].last
-    k = bisect_right(lasts, target) - 1
-    below = 0 if k < 0 else bins[k].last
-    # The next bin starts before the target: its first end is reached for sure.
-    return bins[k + 1].first if k + 1 < len(bins) and firsts[k + 1] <= target else below
-
-
-def _fill(bins: list[Bin], shards: int, capacity: int, upper: bool) -> list[int]:
-    """Greedy cuts (bounds of them) at a capacity."""
-    lasts, firsts = [b.last for b in bins], [b.first for b in bins]
-    cuts, at = [], 0
-    for _ in range(shards):
-        at = _reach(bins, lasts, firsts, at + capacity, upper)
-        cuts.append(at)
-    return cuts
-
-
-def _smallest(bins: list[Bin], shards: int, total: int, low: int, high: int, upper: bool) -> int:
-    """The smallest capacity at which the filled shards reach the total."""
-    while low < high:
-        middle = (low + high) // 2
-        if _fill(bins, shards, middle, upper)[-1] >= total:
-            high = middle
-        else:
-            low = middle + 1
-    return low
+#: Summarises the group ends inside each of some ranges by a number of bins.
+Summary = Callable[[list[tuple[int, int]], int], list[Bin]]
+
+
+class EndBins:
+    """What is known of the group ends: bins, refined where a search asks for more."""
+
+    def __init__(self, summary: Summary, top: int, bins: int) -> None:
+        self.summary, self.parts = summary, max(2, bins)
+        self._hold(summary([(1, top)], self.parts * SHARDS))
+
+    def _hold(self, bins: list[Bin]) -> None:
+        self.bins = sorted(bins, key=lambda b: b.first)
+        self.firsts = [b.first for b in self.bins]
+
+    def _fill(self, shards: int, capacity: int, upper: bool) -> tuple[list[int], set[int]]:
+        """Greedy cuts as far as the bins tell (from below or above), and the open bins they hit."""
+        cuts, at, opened = [], 0, set()
+        for _ in range(shards):
+            target = at + capacity
+            k = bisect_right(self.firsts, target) - 1
+            if k >= 0:
+                found = self.bins[k]
+                if found.last <= target:
+                    at = max(at, found.last)
+                else:
+                    # The last end at or before the target is inside this bin.
+                    if found.count > 2:
+                        opened.add(k)
+                        at = max(at, target if upper else found.first)
+                    else:
+                        at = max(at, found.first)
+            cuts.append(at)
+        return cuts, opened
+
+    def _refine(self, places: set[int]) -> None:
+        ranges = [(self.bins[k].first, self.bins[k].last) for k in sorted(places)]
+        kept = [b for k, b in enumerate(self.bins) if k not in places]
+        self._hold(kept + self.summary(ranges, self.parts))
+
+    def feasible(self, shards: int, capacity: int, total: int) -> bool:
+        while True:
+            low, some = self._fill(shards, capacity, upper=False)
+            if low[-1] >= total:
+                return True
+            high, more = self._fill(shards, capacity, upper=True)
+            if high[-1] < total:
+                return False
+            self._refine(some | more)
+
+    def cuts(self, shards: int, capacity: int) -> list[int]:
+        while True:
+            low, some = self._fill(shards, capacity, upper=False)
+            if not some:
+                return low
+            self._refine(some)
 
 
 def group_ends(groups: DataFrame) -> DataFrame:
@@ -89,58 +116,49 @@ def group_ends(groups: DataFrame) -> DataFrame:
     )
 
 
-def _bins(ends: DataFrame, ranges: list[tuple[int, int]], bins: int) -> list[Bin]:
-    """Summaries of the group ends in each range of positions."""
-    found: dict[tuple[int, int], Bin] = {}
-    place: Column = F.lit(None).cast("struct<r:int,b:bigint>")
-    inside = F.lit(False)
-    for k, (low, high) in enumerate(ranges):
-        width = max(1, -(-(high - low + 1) // bins))
-        here = F.col("end").between(low, high)
-        bin_of = F.floor((F.col("end") - low) / F.lit(width)).cast("bigint")
-        place = F.when(here, F.struct(F.lit(k).alias("r"), bin_of.alias("b"))).otherwise(place)
-        inside = inside | here
-    rows = (
-        ends.filter(inside)
-        .groupBy(place.alias("p"))
-        .agg(F.min("end").alias("first"), F.max("end").alias("last"), F.count("*").alias("n"))
-        .collect()  # at most ranges x bins rows
-    )
-    for r in rows:
-        found[(r["p"]["r"], r["p"]["b"])] = Bin(r["first"], r["last"], r["n"])
-    return sorted(found.values(), key=lambda b: b.first)
-
-
-def _merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for low, high in sorted(ranges):
-        if out and low <= out[-1][1] + 1:
-            out[-1] = (out[-1][0], max(out[-1][1], high))
+def _summary(ends: DataFrame) -> Summary:
+    """Bins of a table of group ends: one job, with at most ranges x parts rows as its answer."""
+
+    def of(ranges: list[tuple[int, int]], parts: int) -> list[Bin]:
+        place: Column = F.lit(None).cast("struct<r:int,b:bigint>")
+        inside = F.lit(False)
+        for k, (low, high) in enumerate(ranges):
+            width = max(1, -(-(high - low + 1) // parts))
+            here = F.col("end").between(low, high)
+            bin_of = F.floor((F.col("end") - low) / F.lit(width)).cast("bigint")
+            place = F.when(here, F.struct(F.lit(k).alias("r"), bin_of.alias("b"))).otherwise(place)
+            inside = inside | here
+        rows = (
+            ends.filter(inside)
+            .groupBy(place.alias("p"))
+            .agg(F.min("end").alias("first"), F.max("end").alias("last"), F.count("*").alias("n"))
+            .collect()
+        )
+        return [Bin(r["first"], r["last"], r["n"]) for r in rows]
+
+    return of
+
+
+def search(summary: Summary, shards: int, top: int, bins: int = BINS) -> tuple[int, list[int]]:
+    """The smallest capacity for ``shards`` contiguous shards, and where each of them ends."""
+    known = EndBins(summary, top, bins)
+    low, high = -(-top // shards), top
+    while low < high:
+        middle = (low + high) // 2
+        if known.feasible(shards, middle, top):
+            high = middle
         else:
-            out.append((low, high))
-    return out
+            low = middle + 1
+    return high, known.cuts(shards, high)
 
 
 def minimax_cuts(ends: DataFrame, shards: int, bins: int = BINS) -> tuple[int, list[int]]:
-    """The smallest capacity for ``shards`` contiguous shards, and where each of them ends.
+    """``search`` over a table with one row per group and its running sum ``end``.
 
-    ``ends`` has one row per group with its running sum ``end``; an empty table gives (0, zeros).
+    An empty table gives (0, zeros).
     """
-    bins = max(bins, 64 * shards)  # so that every round narrows the ranges
     top = ends.agg(F.max("end").alias("t")).first()["t"]
-    if not top:
-        return 0, [0] * shards
-    ranges, low, high = [(1, top)], 1, top
-    while True:
-        found = _bins(ends, ranges, bins)
-        low = _smallest(found, shards, top, low, high, upper=True)
-        high = _smallest(found, shards, top, low, high, upper=False)
-        reached = _fill(found, shards, low, upper=False), _fill(found, shards, high, upper=True)
-        if low == high and reached[0] == _fill(found, shards, low, upper=True):
-            return high, [min(c, top) for c in reached[0]]
-        # Every end a cut may fall on: from what the least capacity reaches for sure to what the
-        # largest may reach, with the end just after it.
-        ranges = _merged([(max(1, a), min(b, top)) for a, b in zip(*reached, strict=True)])
+    return search(_summary(ends), shards, top, bins) if top else (0, [0] * shards)
 
 
 def shard_rows(docs: DataFrame, shards: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
