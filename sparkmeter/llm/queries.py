@@ -6,6 +6,7 @@ from sparkmeter.llm import (  # noqa: F401
     licenses,
     line_quality,
     packing,
+    personal,
     sharding,
 )
 from sparkmeter.llm.registry import ORACLES, QUERIES
