@@ -189,7 +189,7 @@ LABELLED = (
     (f'<main><p>{_LONG}</p></main><p>Some words below</p>', "1" + "0"),
     (f'<div><a href="/1">Read how the town was built</a></div><div><a href="/2">Ten things to see this week in town</a></div><h1>Top</h1><p>{_LONG}</p><p>{_LONG}</p><div><a href="/3">More stories from the town and around</a></div>', "00" + "111" + "0"),
     (f'<div><a href="/1">Part one of the long series</a></div><div><a href="/2">Part two of the long series</a></div>', "00"),
-    (f'<table><tr><td><a href="/">Start</a></td><td><a href="/n">News</a></td></tr></table><p>{_LONG}</p><p>{_LONG}</p><p>copyright a site</p>', "00" + "11" + "0"),
+    (f'<table><tr><td><a href="/">Start</a></td><td><a href="/n">News</a></td></tr></table><p>{_LONG}</p><p>{_LONG}</p>', "00" + "11"),
 )
 
 
