@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from sparkmeter.llm import (  # noqa: F401
+    classifier,
     html_blocks,
     licenses,
     line_quality,
