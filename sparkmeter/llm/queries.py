@@ -10,6 +10,7 @@ from sparkmeter.llm import (  # noqa: F401
     packing,
     personal,
     sharding,
+    substrings,
 )
 from sparkmeter.llm.registry import ORACLES, QUERIES
 
