@@ -5,6 +5,7 @@ from __future__ import annotations
 from sparkmeter.llm import (  # noqa: F401
     classifier,
     html_blocks,
+    jaccard,
     licenses,
     line_quality,
     packing,
