@@ -457,7 +457,10 @@ class Join:
 def similar_documents(
     docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT
 ) -> DataFrame:
-    """Rows of ``docs`` as (doc_id, n_shingles, component_id)."""
+    """Rows of ``docs`` as (doc_id, n_shingles, component_id), with ``root`` and ``key``.
+
+    ``root`` names the component also where its ids are null, ``key`` is a hash of the text.
+    """
     body = F.coalesce(F.col(text), F.lit(""))
     keyed = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(body).alias("key"), body.alias("text"))
     join = Join(keyed, words, percent)
@@ -470,12 +473,34 @@ def similar_documents(
         "node", F.coalesce("root", "node").alias("root"), "least"
     )
     groups = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    found = rooted.join(groups, "root").select("node", "component_id")
+    found = rooted.join(groups, "root").select("node", "root", "component_id")
     named = ids.join(found, "node", "left")
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return named.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    return named.select(
+        "doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), "root", "key"
+    )
+
+
+def one_of_each(
+    docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT
+) -> DataFrame:
+    """One row of each component: its smallest id, among equal ids the least text hash.
+
+    Rows without words are no duplicates of others; equal rows become one row.
+    """
+    found = similar_documents(docs, id_col, text, words, percent)
+    first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = first.filter("n_shingles > 0").groupBy("root").agg(
+        F.min(F.struct("doc_id", "key")).alias("w")
+    ).select("w.doc_id", "w.key")
+    kept = kept.unionAll(first.filter("n_shingles = 0").select("doc_id", "key").distinct())
+    keyed = docs.withColumn("_key", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    same = (F.col("_key") == F.col("_w")) & F.col(id_col).eqNullSafe(F.col("_id"))
+    winners = kept.select(F.col("doc_id").alias("_id"), F.col("key").alias("_w"))
+    return keyed.join(winners, same, "left_semi").dropDuplicates([id_col, "_key"]).drop("_key")
 
 
 @query("op6_multi_order_jaccard")
 def op6_multi_order_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_documents(table(spark, sf_dir, "documents"), words=3, percent=90)
+    found = similar_documents(table(spark, sf_dir, "documents"), words=3, percent=90)
+    return found.select("doc_id", "n_shingles", "component_id")

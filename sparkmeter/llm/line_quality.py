@@ -146,6 +146,16 @@ def cleaned_text(text: Column) -> Column:
     return F.array_join(F.filter(lines, keep), "\n")
 
 
+def keep_clean(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Kept documents without their failing lines, with the columns they came with."""
+    measured = measure(docs.withColumn("_text", F.col(text)), "_text").filter("kept")
+    cleaned = F.when(F.col("n_lost_chars") > 0, cleaned_text(F.col("_text"))).otherwise(F.col("_text"))
+    clashes = [c for c in docs.columns if c in COLUMNS[1:] and c != text]
+    if clashes:
+        raise ValueError(f"columns {clashes} have names of results")
+    return measured.withColumn(text, cleaned).select(*docs.columns)
+
+
 COLUMNS = (
     "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept n_lost_chars"
 ).split()

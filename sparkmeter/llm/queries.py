@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from sparkmeter.llm import (  # noqa: F401
     classifier,
+    decontaminate,
     html_blocks,
     jaccard,
     licenses,
