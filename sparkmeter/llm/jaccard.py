@@ -41,7 +41,11 @@ from sparkmeter.session import settle
 
 WORDS, PERCENT = 5, 80
 #: Buckets of the token counts: their number is fixed, so they may be sent to every task.
-BUCKETS = 1 << 18
+BUCKETS = 1 << 16
+#: Bits of the filter for rows whose sets are asked for, a fixed 2 MB; hits are joined exactly.
+BITS = 1 << 24
+#: Bytes of a token in a set that is sent to be counted.
+TOKEN_BYTES = 6
 #: Longest list whose nodes are paired with each other.
 SHORT = 32
 #: Members of a leader's list that one task compares with those of another block.
@@ -68,10 +72,10 @@ def _node(tokens: np.ndarray) -> int:
 
 
 def _set_rows(words: int):
-    """(key, name, node, n, bucket, count): a row per text, then one per bucket of a task's counts."""
+    """(doc_id, key, name, node, n, bucket, count): a row per text, then the bucket counts of a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "name", "node", "n", "bucket", "count"]
+        names = ["doc_id", "key", "name", "node", "n", "bucket", "count"]
         totals = np.zeros(BUCKETS, dtype=np.int64)
         for batch in batches:
             for part in chunks(batch, "text"):
@@ -80,6 +84,7 @@ def _set_rows(words: int):
                 none = pa.nulls(len(sets), pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [
+                        part.column("doc_id"),
                         part.column("key"),
                         pa.array([_name(x) for x in sets], pa.binary()),
                         pa.array([_node(x) for x in sets], pa.int64()),
@@ -93,7 +98,7 @@ def _set_rows(words: int):
         if len(used):
             none = pa.nulls(len(used), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [none, pa.nulls(len(used), pa.binary()), none, none, pa.array(used), pa.array(totals[used])],
+                [none, none, pa.nulls(len(used), pa.binary()), none, none, pa.array(used), pa.array(totals[used])],
                 names=names,
             )
 
@@ -143,30 +148,45 @@ def _links_possible(n: int, percent: int) -> bool:
     return 100 * n >= percent * (n + 1)
 
 
-def _details(words: int, percent: int, ranks: Broadcast):
-    """(node, name, tokens, prefixes): sorted tokens and the other orders' prefixes of each text."""
+def _packed(tokens: np.ndarray) -> bytes:
+    """The leading bytes of each token, in order."""
+    return tokens.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :TOKEN_BYTES].tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // TOKEN_BYTES, 8), dtype=np.uint8)
+    out[:, 8 - TOKEN_BYTES :] = np.frombuffer(data, dtype=np.uint8).reshape(-1, TOKEN_BYTES)
+    return out.view(">u8").ravel().astype(np.uint64)
+
+
+def _details(words: int, percent: int, ranks: Broadcast, bits: Broadcast, full: bool):
+    """(node, name, tokens) of the texts that pass the filter; else their other orders' prefixes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "text"):
-                nodes, names, sets, firsts = [], [], [], []
+                bit = part.column("bit").to_numpy(zero_copy_only=False)
+                hit = (bits.value[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1) > 0
+                part = part.filter(pa.array(hit))
+                nodes, names, sets = [], [], []
                 for own in shingle_sets(part.column("text"), words):
                     nodes.append(_node(own))
                     names.append(_name(own))
-                    sets.append(own.tobytes())
-                    firsts.append(
-                        b"".join(np.sort(prefix(own, ranks.value, k, percent)).tobytes() for k in range(1, ORDERS))
+                    sets.append(
+                        _packed(own)
+                        if full
+                        else b"".join(_packed(np.sort(prefix(own, ranks.value, k, percent))) for k in range(1, ORDERS))
                     )
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(nodes, pa.int64()), *[pa.array(c, pa.binary()) for c in (names, sets, firsts)]],
-                    names=["node", "name", "tokens", "prefixes"],
+                    [pa.array(nodes, pa.int64()), *[pa.array(c, pa.binary()) for c in (names, sets)]],
+                    names=["node", "name", "tokens"],
                 )
 
     return run
 
 
 def _sets_of(column: pa.Array) -> list[np.ndarray]:
-    return [np.frombuffer(v.as_py(), dtype=np.uint64) for v in column]
+    return [_unpacked(v.as_py()) for v in column]
 
 
 def _shared(a: np.ndarray, b: np.ndarray) -> int:
@@ -182,7 +202,7 @@ def _share_prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     """Keep the pairs that share a prefix token under every other order."""
     for batch in batches:
         keep = []
-        for a, b in zip(_sets_of(batch.column("pa")), _sets_of(batch.column("pb")), strict=True):
+        for a, b in zip(_sets_of(batch.column("ta")), _sets_of(batch.column("tb")), strict=True):
             one, two = np.split(a, ORDERS - 1), np.split(b, ORDERS - 1)
             keep.append(all(_shared(x, y) for x, y in zip(one, two, strict=True)))
         yield pa.RecordBatch.from_arrays(
@@ -294,12 +314,14 @@ class Join:
         self.spark, self.texts = texts.sparkSession, texts
         self.words, self.percent = words, percent
         rows = settle(
-            texts.select("key", "text").mapInArrow(
-                _set_rows(words), "key long, name binary, node long, n long, bucket long, count long"
+            texts.select("doc_id", "key", "text").mapInArrow(
+                _set_rows(words), "doc_id long, key long, name binary, node long, n long, bucket long, count long"
             ),
             "sets",
         )
-        self.nodes = rows.filter("bucket IS NULL").select("key", "name", "node", "n")
+        self.nodes = rows.filter("bucket IS NULL").select(
+            "doc_id", "key", "name", "node", "n"
+        )
         counts = rows.filter("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("count").alias("n"))
         ranks = np.zeros(BUCKETS, dtype=np.uint8)
         for r in counts.collect():  # a fixed number of buckets
@@ -315,49 +337,64 @@ class Join:
         wanted = spread.filter("x <> y").select("token")
         return settle(postings.join(wanted, "token", "left_semi").distinct(), "lists")
 
-    def details(self, names: DataFrame) -> DataFrame:
-        """Tokens and prefixes of some nodes, each from one text that has it."""
-        keys = self.nodes.join(names, "node", "left_semi").groupBy("name").agg(F.min("key").alias("key"))
-        place = self.texts.join(keys, "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-        found = self.texts.join(
-            place.withColumnRenamed("key", "k").withColumnRenamed("doc_id", "d"),
-            (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d")),
-            "left_semi",
-        ).dropDuplicates(["key", "doc_id"])
-        rows = found.select("text").mapInArrow(
-            _details(self.words, self.percent, self.ranks),
-            "node long, name binary, tokens binary, prefixes binary",
+    def details(self, names: DataFrame, full: bool) -> DataFrame:
+        """(node, name, tokens) of some nodes, each from its first text; or prefixes as tokens.
+
+        The texts are not shuffled: a bitmap of fixed size tells most rows that are not asked for,
+        and a join with the asked nodes drops the others.
+        """
+        first = self.nodes.join(names, "node", "left_semi").groupBy("node").agg(
+            F.min(F.struct("doc_id", "key")).alias("w")
+        )
+        bit = lambda *c: F.pmod(F.xxhash64(*c), F.lit(BITS))
+        marks = first.select(bit("w.doc_id", "w.key").alias("bit")).groupBy(
+            F.shiftright("bit", 6).alias("word")
+        )
+        bits = np.zeros(BITS // 64, dtype=np.uint64)
+        one = F.lit(1).cast("bigint")
+        mark = F.call_function("shiftleft", one, F.col("bit").bitwiseAND(F.lit(63)).cast("int"))
+        for r in marks.agg(F.bit_or(mark).alias("b")).collect():  # a fixed number of words
+            bits[r["word"]] = np.uint64(r["b"] & ((1 << 64) - 1))
+        held = self.spark.sparkContext.broadcast(bits)
+        return self.texts.select(bit("doc_id", "key").alias("bit"), "text").mapInArrow(
+            _details(self.words, self.percent, self.ranks, held, full),
+            "node long, name binary, tokens binary",
         )
-        return settle(rows, "details")
 
     def linked(self, shared: Column, na: Column, nb: Column) -> Column:
         return shared * 100 >= (na + nb - shared) * self.percent
 
-    def measure(self, pairs: DataFrame, details: DataFrame) -> DataFrame:
+    def _with_sets(self, pairs: DataFrame, full: bool) -> DataFrame:
+        """Pairs with the sets (or other prefixes) of both sides."""
+        both = pairs.select("a").unionAll(pairs.select("b")).select(F.col("a").alias("node")).distinct()
+        details = self.details(both, full).repartition("node")
+        side = lambda c, t, n: details.select(
+            F.col("node").alias(c), F.col("tokens").alias(t), F.col("name").alias(n)
+        )
+        return pairs.join(side("a", "ta", "an"), "a").join(side("b", "tb", "bn"), "b")
+
+    def measure(self, pairs: DataFrame) -> DataFrame:
         """Exact counts of pairs (a, b, lead) that pass the other orders' prefix filters.
 
         Pairs with a leader skip the filters: their distance is needed even where it is large.
         """
-        side = lambda c, *names: details.select(
-            F.col("node").alias(c), *[F.col(n).alias(m) for n, m in names]
-        )
-        plain, led = pairs.filter("NOT lead"), pairs.filter("lead")
-        filtered = (
-            plain.join(side("a", ("prefixes", "pa")), "a")
-            .join(side("b", ("prefixes", "pb")), "b")
-            .select("a", "b", "pa", "pb")
-            .mapInArrow(_share_prefixes, "a long, b long")
+        plain = self._with_sets(pairs.filter("NOT lead"), full=False)
+        filtered = plain.select("a", "b", "ta", "tb").mapInArrow(_share_prefixes, "a long, b long")
+        kept = settle(
+            filtered.withColumn("lead", F.lit(False)).unionAll(
+                pairs.filter("lead").select("a", "b", "lead")
+            ),
+            "candidates",
         )
-        kept = filtered.withColumn("lead", F.lit(False)).unionAll(led.select("a", "b", "lead"))
-        return (
-            kept.join(side("a", ("tokens", "ta"), ("name", "an")), "a")
-            .join(side("b", ("tokens", "tb"), ("name", "bn")), "b")
+        measured = (
+            self._with_sets(kept, full=True)
             .select("a", "b", "an", "bn", "lead", "ta", "tb")
             .mapInArrow(
                 _measured(self.percent),
                 "a long, b long, an binary, bn binary, shared long, na long, nb long, lacks binary, adds binary",
             )
         )
+        return settle(measured, "measured")
 
     def short_pairs(self, lists: DataFrame) -> DataFrame:
         """Pairs of nodes in one short list, sizes apart at most as the threshold allows."""
@@ -386,7 +423,6 @@ class Join:
         """(a, b) links that join all nodes of each component."""
         lists = self.lists()
         found: list[DataFrame] = []
-        details = self.details(lists.select("node").distinct())
         for turn in range(LED_ROUNDS + 1):
             sizes = lists.groupBy("token").agg(
                 F.count("*").alias("size"), F.min(F.struct("node", "n")).alias("least")
@@ -397,7 +433,7 @@ class Join:
                 "token", "node", "n", F.col("least.node").alias("lead"), F.col("least.n").alias("lead_n")
             )
             if turn == LED_ROUNDS:
-                rest = settle(self.measure(self.long_pairs(long), details), "measured")
+                rest = self.measure(settle(self.long_pairs(long), "pairs"))
                 found.append(
                     rest.filter(self.linked(F.col("shared"), F.col("na"), F.col("nb"))).select(
                         F.col("an").alias("a"), F.col("bn").alias("b")
@@ -413,7 +449,7 @@ class Join:
                 .distinct()
                 .withColumn("lead", F.lit(True))
             )
-            measured = settle(self.measure(pairs.unionAll(led), details), "measured")
+            measured = self.measure(settle(pairs.unionAll(led), "pairs"))
             hit = self.linked(F.col("shared"), F.col("na"), F.col("nb"))
             found.append(measured.filter(hit).select(F.col("an").alias("a"), F.col("bn").alias("b")))
             if turn == LED_ROUNDS or long.isEmpty():
@@ -462,12 +498,12 @@ def similar_documents(
     ``root`` names the component also where its ids are null, ``key`` is a hash of the text.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    keyed = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(body).alias("key"), body.alias("text"))
+    keyed = docs.select(
+        F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(body).alias("key"), body.alias("text")
+    )
     join = Join(keyed, words, percent)
     roots = settle(connected(join.links()), "roots")
-    # A text's set is the same wherever it stands; keys name the texts.
-    sets = join.nodes.groupBy("key").agg(F.first("name").alias("node"), F.first("n").alias("n"))
-    ids = keyed.select("doc_id", "key").join(sets, "key")
+    ids = join.nodes.drop("node").withColumnRenamed("name", "node")
     names = ids.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
     rooted = names.join(roots, "node", "left").select(
         "node", F.coalesce("root", "node").alias("root"), "least"
