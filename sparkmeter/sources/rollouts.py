@@ -9,7 +9,7 @@ from sparkmeter.functions.predicates import date_key
 from sparkmeter.operators.carry import carry_forward
 from sparkmeter.schemas import with_total
 from sparkmeter.sources.logs import json_rows
-from sparkmeter.sources.transcripts import UNKNOWN, iso_timestamp
+from sparkmeter.sources.transcripts import UNKNOWN, iso_timestamp, whole_number
 
 # Field names and line types of the dialect, and its default texts.
 DEFAULT_MODEL = "codex-unknown"
@@ -18,7 +18,7 @@ META, CONTEXT, EVENT, TOKENS = "session_meta", "turn_context", "event_msg", "tok
 _LINE = (
     "struct<type string, timestamp string, payload struct<type string, cwd string,"
     " cli_version string, model string, info struct<last_token_usage struct<"
-    "input_tokens bigint, cached_input_tokens bigint, output_tokens bigint>>>>"
+    "input_tokens string, cached_input_tokens string, output_tokens string>>>>"
 )
 
 
@@ -38,7 +38,7 @@ def parse_rollouts(lines: DataFrame, now: Column, tz: str = "UTC") -> DataFrame:
     kind, usage = F.col("j.type"), "j.payload.info.last_token_usage."
 
     def number(field: str) -> Column:
-        return F.coalesce(F.col(usage + field), F.lit(0)).cast("bigint")
+        return whole_number(F.col(usage + field))
 
     cached = number("cached_input_tokens")
     fresh = F.greatest(number("input_tokens") - cached, F.lit(0)).cast("bigint")

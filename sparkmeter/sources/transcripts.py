@@ -14,9 +14,9 @@ KEPT_TYPES = ["user", "assistant"]
 SYNTHETIC_MODEL = "<synthetic>"
 UNKNOWN = "unknown"
 _USAGE = (
-    "struct<input_tokens bigint, output_tokens bigint, cache_read_input_tokens bigint,"
-    " cache_creation struct<cache_creation_input_tokens bigint,"
-    " ephemeral_5m_input_tokens bigint, ephemeral_1h_input_tokens bigint>>"
+    "struct<input_tokens string, output_tokens string, cache_read_input_tokens string,"
+    " cache_creation struct<cache_creation_input_tokens string,"
+    " ephemeral_5m_input_tokens string, ephemeral_1h_input_tokens string>>"
 )
 _ENTRY = (
     "struct<type string, timestamp string, sessionId string, uuid string, requestId string,"
@@ -30,6 +30,11 @@ def iso_timestamp(text: Column) -> Column:
     return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}"), F.try_to_timestamp(text))
 
 
+def whole_number(text: Column) -> Column:
+    """A counter in any number form (``12``, ``12.0``, ``1e3``), cut to a whole number; else 0."""
+    return F.coalesce(F.trim(text).try_cast("decimal(38,6)").try_cast("bigint"), F.lit(0))
+
+
 def response_identity(
     message_type: Column, api_id: Column, request_id: Column, uuid: Column
 ) -> Column:
@@ -71,7 +76,7 @@ def parse_transcripts(lines: DataFrame, tz: str = "UTC", content: bool = False)
     cache = "j.message.usage.cache_creation."
 
     def counter(*fields: str) -> Column:
-        parts = [F.coalesce(F.col(f), F.lit(0)) for f in fields]
+        parts = [whole_number(F.col(f)) for f in fields]
         return F.when(billed, sum(parts[1:], parts[0])).otherwise(0).cast("bigint")
 
     def default(field: str) -> Column:

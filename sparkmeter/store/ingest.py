@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,7 +32,7 @@ from sparkmeter.operators.rollup import (
     replace_ledger,
     save_additive,
 )
-from sparkmeter.operators.upsert import with_keys, without_keys
+from sparkmeter.operators.upsert import without_keys
 from sparkmeter.schemas import PRICING, USAGE, conform
 from sparkmeter.session import settle
 from sparkmeter.sources.logs import list_files, scan_logs
@@ -47,8 +47,8 @@ from sparkmeter.sources.registry import Source, parse_source, union_all
 from sparkmeter.store.tables import Store, on_days
 
 POSITION = ["file_path", "chunk", "pos"]
-#: Up to this many stale files are read by their paths.
-LISTED_FILES = 10_000
+#: Stale files that are read, saved and noted in the manifest together.
+BATCH_FILES = 10_000
 GLOB_CHARS = re.compile(r"([\[\]{}*?\\])")
 
 
@@ -136,51 +136,40 @@ def ingest(
     status = settle(stale_files(union_all(listed), store.read("manifest")), "stale")
     present = F.col("status") != "deleted"
     stale = status.filter(present) if force else needs_parsing(status)
-    counts = {
-        row["_source"]: (row["files"], row["stale"])
-        for row in stale.withColumn("_stale", F.lit(1))
-        .unionByName(status.filter(present), allowMissingColumns=True)
-        .groupBy("_source")
-        .agg(F.count_if(F.col("_stale").isNull()).alias("files"), F.sum("_stale").alias("stale"))
-        .collect()
-    }
     saved, failures = 0, {}
     for i, source in enumerate(sources):
-        files, changed = counts.get(i, (0, None))
-        if not changed:
-            continue
         mine = stale.filter(F.col("_source") == i)
         try:
-            lines = stale_lines(spark, source.path, glob, mine, changed, changed == files)
-            facts = parse_source(lines, source, now, tz)
-            saved += save_files(store, facts, now) if aggregate else save_full(store, facts, now)
+            for names in _batches(mine):
+                lines = scan_logs(spark, [GLOB_CHARS.sub(r"\\\1", n) for n in names], glob)
+                facts = parse_source(lines, source, now, tz)
+                saved += save_files(store, facts, now) if aggregate else save_full(store, facts, now)
+                read = mine.filter(F.col("file_path").isin(names))
+                store.replace(
+                    "manifest",
+                    update_manifest(store.read("manifest"), read.select("file_path"), read, now),
+                )
         except Exception as error:
             failures[source.path] = str(error)
-            continue
-        store.replace(
-            "manifest",
-            update_manifest(store.read("manifest"), mine.select("file_path"), mine, now),
-        )
     gone = status.filter(~present)
     if not force and not gone.isEmpty():
         store.replace("manifest", prune_manifest(store.read("manifest"), gone))
     return saved, failures
 
 
-def stale_lines(
-    spark: SparkSession, path: str, glob: str, files: DataFrame, count: int, whole: bool
-) -> DataFrame:
-    """Lines of the stale files of one source, without reading the others where that is possible.
+def _batches(files: DataFrame) -> Iterator[list[str]]:
+    """Paths of the stale files of one source, a batch at a time, always by their paths.
 
-    A few files are read by path. When all are stale the tree is read as it is; in between, a
-    semi-join picks the lines.
+    Saves are keyed, so a batch that is repeated after a failure changes nothing more.
     """
-    if whole:
-        return scan_logs(spark, path, glob)
-    if count <= LISTED_FILES:
-        names = [r["file_path"] for r in files.select("file_path").limit(count).collect()]
-        return scan_logs(spark, [GLOB_CHARS.sub(r"\\\1", n) for n in names], glob)
-    return with_keys(scan_logs(spark, path, glob), files, ["file_path"])
+    names: list[str] = []
+    for row in files.select("file_path").orderBy("file_path").toLocalIterator():
+        names.append(row["file_path"])
+        if len(names) == BATCH_FILES:
+            yield names
+            names = []
+    if names:
+        yield names
 
 
 def rebuild(

@@ -96,13 +96,11 @@ class Store:
             self.replace(table, rows.hint("rebalance"))
 
 
-def on_days(df: DataFrame, days: DataFrame, listed: int = 4000) -> DataFrame:
+def on_days(df: DataFrame, days: DataFrame) -> DataFrame:
     """Rows of the given days, so that only their partitions are read.
 
-    Days are few: up to ``listed`` of them become a filter that prunes partitions before the
-    scan. Should there be more, a semi-join selects the same rows.
+    The days become a filter on the partition column before the scan. There are at most as many
+    values as the calendar has days, whatever the table holds.
     """
-    values = [r["date"] for r in days.select("date").distinct().limit(listed + 1).collect()]
-    if len(values) > listed:
-        return df.join(days.select("date"), "date", "left_semi").select(df.columns)
+    values = [r["date"] for r in days.select("date").distinct().collect()]
     return df.filter(F.col("date").isin(values))
