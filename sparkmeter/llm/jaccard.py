@@ -522,7 +522,8 @@ def one_of_each(
 ) -> DataFrame:
     """One row of each component: its smallest id, among equal ids the least text hash.
 
-    Rows without words are no duplicates of others; equal rows become one row.
+    Rows without words are no duplicates of others; equal rows become one row. All columns are kept,
+    whatever their names.
     """
     found = similar_documents(docs, id_col, text, words, percent)
     first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
@@ -530,10 +531,13 @@ def one_of_each(
         F.min(F.struct("doc_id", "key")).alias("w")
     ).select("w.doc_id", "w.key")
     kept = kept.unionAll(first.filter("n_shingles = 0").select("doc_id", "key").distinct())
-    keyed = docs.withColumn("_key", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    same = (F.col("_key") == F.col("_w")) & F.col(id_col).eqNullSafe(F.col("_id"))
-    winners = kept.select(F.col("doc_id").alias("_id"), F.col("key").alias("_w"))
-    return keyed.join(winners, same, "left_semi").dropDuplicates([id_col, "_key"]).drop("_key")
+    held = docs.select(
+        F.struct("*").alias("row"),
+        F.col(id_col).alias("own_id"),
+        F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("own_key"),
+    )
+    same = (F.col("own_key") == F.col("key")) & F.col("own_id").eqNullSafe(F.col("doc_id"))
+    return held.join(kept, same, "left_semi").dropDuplicates(["own_id", "own_key"]).select("row.*")
 
 
 @query("op6_multi_order_jaccard")

@@ -147,13 +147,15 @@ def cleaned_text(text: Column) -> Column:
 
 
 def keep_clean(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Kept documents without their failing lines, with the columns they came with."""
-    measured = measure(docs.withColumn("_text", F.col(text)), "_text").filter("kept")
-    cleaned = F.when(F.col("n_lost_chars") > 0, cleaned_text(F.col("_text"))).otherwise(F.col("_text"))
-    clashes = [c for c in docs.columns if c in COLUMNS[1:] and c != text]
-    if clashes:
-        raise ValueError(f"columns {clashes} have names of results")
-    return measured.withColumn(text, cleaned).select(*docs.columns)
+    """Kept documents without their failing lines, with the columns they came with.
+
+    Columns that share a name with a result are kept as they came.
+    """
+    held = docs.select(F.struct("*").alias("row"), F.col(text).alias("text"))
+    cleaned = F.when(F.col("n_lost_chars") > 0, cleaned_text(F.col("text"))).otherwise(F.col("text"))
+    return measure(held).filter("kept").select(
+        *[(cleaned if c == text else F.col("row")[c]).alias(c) for c in docs.columns]
+    )
 
 
 COLUMNS = (

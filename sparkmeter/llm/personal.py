@@ -373,10 +373,14 @@ def redacted(body: Column, spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Documents with personal data replaced; rows without any, and null texts, are unchanged."""
-    found = find_spans(docs, model, text)
-    changed = F.when(F.size("found") > 0, redacted(F.col(text), F.col("found")))
-    return found.withColumn(text, F.coalesce(changed, F.col(text))).select(*docs.columns)
+    """Documents with personal data replaced; rows without any, and null texts, are unchanged.
+
+    Columns that share a name with a result are kept as they came.
+    """
+    found = find_spans(docs.select(F.struct("*").alias("row"), F.col(text).alias("text")), model)
+    changed = F.when(F.size("found") > 0, redacted(F.col("text"), F.col("found")))
+    cleaned = F.coalesce(changed, F.col("text"))
+    return found.select(*[(cleaned if c == text else F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def describe(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text") -> DataFrame:

@@ -7,16 +7,19 @@ import hashlib
 import random
 import re
 import zlib
+from functools import reduce
 
 import numpy as np
 import pytest
 from check_oracles import compare, connect
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from sparkmeter.llm import classifier, decontaminate, html_blocks, jaccard, licenses, line_quality
 from sparkmeter.llm import packing, personal, sharding, substrings
 from sparkmeter.llm.queries import ORACLES, QUERIES
 from sparkmeter.llm.registry import ship_package
+from sparkmeter.session import settle
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -319,3 +322,20 @@ def test_pipeline_stages(spark, sf):
     clean = [(r["doc_id"], r["text"]) for r in docs.collect()]
     assert not [s for _, t in clean for s in brute_spans(t)]
     assert corpus_pipeline.token_packing(spark, docs, sf).select("doc_id").distinct().count() == len(clean)
+
+
+def test_stages_keep_columns_with_clashing_names(spark, sf):
+    names = "own_id own_key row key kept n_words n_lost_chars base found _id _key hit own".split()
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(40)
+    docs = docs.union(table(spark, [(None, None), (-1, ""), (-2, "word " * 3000)]))
+    more = docs.withColumns({n: F.concat(F.lit(n), F.col("doc_id").cast("string")) for n in names})
+    plain = settle(docs)
+    more = settle(more)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        plain = settle(stage(spark, plain, sf))
+        more = settle(stage(spark, more, sf))
+        assert more.columns == [*plain.columns, *names], name
+        assert sorted(more.select(*plain.columns).collect()) == sorted(plain.collect()), name
+        wrong = [~F.col(n).eqNullSafe(F.concat(F.lit(n), F.col("doc_id").cast("string"))) for n in names]
+        assert more.filter(reduce(lambda a, b: a | b, wrong)).isEmpty(), name
+    assert corpus_pipeline.token_packing(spark, more, sf).count() >= more.count()
