@@ -38,8 +38,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Documents with a benchmark item go."""
     ship_package(spark)
     leaks = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"))
-    hit = leaks.select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    hit = leaks.select("doc_id").distinct()
+    same = F.col("own.doc_id").eqNullSafe(F.col("hit.doc_id"))
+    return docs.alias("own").join(hit.alias("hit"), same, "left_anti")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
