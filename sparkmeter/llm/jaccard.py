@@ -9,7 +9,8 @@ candidate must also share a prefix token under each other order before its sets
 A token of many nodes does not become all pairs of them. Its list gets the least node as a leader,
 every member is measured against it, and the rest follows from the triangle inequality of the
 Jaccard distance: members near the leader are compared among each other inside tasks, by what they
-lack and add beside the leader, in blocks, and only links leave the task; members further away
+lack and add beside the leader, in blocks, and a spanning forest of the links leaves the task, so a
+group's links do not grow with its square; members further away
 go on in a list without the leader and the near ones. Lists of at most ``SHORT`` nodes are paired,
 and so is, by a join on the token, what is left in long lists after two rounds: nodes that share a
 token and are unlike two leaders.
@@ -279,10 +280,25 @@ def _block_links(left: pd.DataFrame, right: pd.DataFrame, percent: int) -> list[
         total += _overlaps(*[[np.frombuffer(v, dtype=np.uint64) for v in f[field]] for f in both])
     union = sizes[0][:, None] + sizes[1][None, :] - total
     hit = (100 * total >= percent * union) & ~(linked[0][:, None] & linked[1][None, :])
-    names = [f["bn"].to_numpy() for f in both]
-    for i, j in zip(*np.nonzero(hit), strict=True):
-        if names[0][i] != names[1][j]:
-            out.append((names[0][i], names[1][j]))
+    return _forest(hit, *[f["bn"].tolist() for f in both], *linked)
+
+
+def _forest(
+    hit: np.ndarray, left: list[bytes], right: list[bytes], left_linked: np.ndarray, right_linked: np.ndarray
+) -> list[tuple[bytes, bytes]]:
+    """Of the links in a block, as few as join the same members; the leader joins the linked ones."""
+    number = {name: k + 1 for k, name in enumerate(dict.fromkeys([*left, *right]))}
+    rows, columns = (np.array([number[x] for x in names]) for names in (left, right))
+    label = np.arange(len(number) + 1)
+    label[rows[left_linked]] = label[columns[right_linked]] = 0
+    out = []
+    for i, own in enumerate(rows):
+        near = np.flatnonzero(hit[i])
+        others, first = np.unique(label[columns[near]], return_index=True)
+        for other, k in zip(others, first, strict=True):
+            if other != label[own]:
+                out.append((left[i], right[near[k]]))
+                label[label == other] = label[own]
     return out
 
 
