@@ -10,13 +10,15 @@ from sparkmeter.plans.inputs import table
 from sparkmeter.plans.registry import query
 
 ROOT, HOME = "/repo", "/home/me"
+_ARCHITECTURE = " WHEN 4 THEN ' @../shared/./a-b_c.md we use redux with a database schema'"
 _CONTENT = (
     "concat(text, CASE doc_id % 6 WHEN 0 THEN ' see @docs/style.md and `@skip/me.md` use snake_case'"
     " WHEN 1 THEN ' be consistent, @~/notes.md' WHEN 2 THEN ' @/abs/../etc/x.md ```\n@in/code.md"
     "\n``` I prefer tabs or spaces' WHEN 3 THEN ' follow best practices and keep it simple;"
-    " run pytest, npm run build, make all' WHEN 4 THEN ' @../shared/./a-b_c.md we use redux"
-    " with a database schema' ELSE '' END)"
+    f" run pytest, npm run build, make all'{_ARCHITECTURE} ELSE '' END)"
 )
+# The same documents without the phrases on architecture, so that a topic may stay open.
+_OPEN_CONTENT = _CONTENT.replace(_ARCHITECTURE, "")
 _PATH = (
     "concat('/repo/', source, '/', CAST(doc_id AS {S}), CASE doc_id % 4 WHEN 0 THEN '/CLAUDE.md'"
     " WHEN 1 THEN '/CLAUDE.local.md' WHEN 2 THEN '/.claude/rules/r.md' ELSE '/sub/CLAUDE.md' END)"
@@ -27,9 +29,9 @@ _DOCS = (
 )
 
 
-def _docs(spark: SparkSession, sf: str) -> DataFrame:
+def _docs(spark: SparkSession, sf: str, content: str = _CONTENT) -> DataFrame:
     return table(spark, sf, "documents").selectExpr(
-        "doc_id", f"{_PATH.format(S='STRING')} AS path", f"{_CONTENT} AS content"
+        "doc_id", f"{_PATH.format(S='STRING')} AS path", f"{content} AS content"
     )
 
 
@@ -185,12 +187,11 @@ def sources(spark: SparkSession, sf: str) -> DataFrame:
         " WHERE matches > 0) UNION ALL SELECT concat('**Clarify**: Found ''', found, ''' — ',"
         f" question) FROM (SELECT * FROM ({_VAGUE}) WHERE found <> '' ORDER BY path, phrase_no"
         " LIMIT 3)",
-        docs=_DOCS + " WHERE doc_id % 6 <> 4",
+        docs=_DOCS.replace(_CONTENT, _OPEN_CONTENT),
     ),
 )
 def questions(spark: SparkSession, sf: str) -> DataFrame:
-    # Without the documents that mention architecture some topic may stay open.
-    return documents.open_questions(_docs(spark, sf).filter("doc_id % 6 <> 4"))
+    return documents.open_questions(_docs(spark, sf, _OPEN_CONTENT))
 
 
 _PLACES = (
