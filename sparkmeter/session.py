@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +26,10 @@ SETTINGS = {
 }
 
 
+#: Open ``scratch`` blocks of this thread, innermost last.
+_BLOCKS: ContextVar[tuple[Scratch, ...]] = ContextVar("scratch_blocks", default=())
+
+
 def apply_settings(spark: SparkSession) -> SparkSession:
     """Set the runtime settings on an existing session."""
     for key, value in SETTINGS.items():
@@ -64,13 +70,53 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame, label: str = "settled") -> DataFrame:
+def settle(df: DataFrame, label: str = "settled", **options: str) -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back.
 
     Cuts the lineage and fixes the values, so that a lost executor re-reads files instead of
     recomputing (a step that follows may rely on row positions or overwrite its own source).
+    Inside a ``scratch`` block the files go when the block ends, or earlier by ``Scratch.drop``.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.mode("errorifexists").parquet(path)
+    open_block = _BLOCKS.get()
+    if open_block:
+        open_block[-1].paths.append(path)
+    df.write.mode("errorifexists").options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder in any file system that Spark can reach."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+class Scratch:
+    """Settled tables of one job."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.paths: list[str] = []
+
+    def drop(self, kept: int = 0) -> None:
+        """Remove all settled tables but the ``kept`` latest."""
+        stale, self.paths = self.paths[: len(self.paths) - kept], self.paths[len(self.paths) - kept :]
+        for path in stale:
+            remove(self.spark, path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Scratch]:
+    """Remove what is settled inside the block when it ends, also after a failure.
+
+    For jobs that end with a committed table. A job that returns a DataFrame over settled tables
+    must not be wrapped, as its files are still to be read. Blocks may be nested.
+    """
+    block = Scratch(spark)
+    token = _BLOCKS.set((*_BLOCKS.get(), block))
+    try:
+        yield block
+    finally:
+        _BLOCKS.reset(token)
+        block.drop()
