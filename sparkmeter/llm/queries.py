@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from sparkmeter.llm import (  # noqa: F401
+    centroids,
     classifier,
     decontaminate,
     html_blocks,
@@ -11,6 +12,7 @@ from sparkmeter.llm import (  # noqa: F401
     line_quality,
     packing,
     personal,
+    reputation,
     sharding,
     substrings,
 )
