@@ -5,6 +5,7 @@ from __future__ import annotations
 from sparkmeter.llm import (  # noqa: F401
     centroids,
     classifier,
+    collocations,
     decontaminate,
     html_blocks,
     jaccard,
