@@ -106,6 +106,29 @@ def source_rows(
     return rows if wm is None else rows.filter(sequence(by_update) > wm)
 
 
+def as_numbers(touched: DataFrame) -> DataFrame:
+    """A change log in place of the facts, for ``plan_push``: its largest numbers are theirs."""
+    return touched.select("device_id", F.col("last_id").alias("id"), F.col("seq").alias("updated_seq"))
+
+
+def changed_days(
+    touched: DataFrame,
+    wm: int | None,
+    devices: list[str] | None = None,
+    by_update: bool = False,
+) -> DataFrame:
+    """Days and devices of a change log above the watermark, and whether they lost rows since."""
+    rows = device_filter(touched, devices)
+    if wm is not None:
+        rows = rows.filter(F.col("seq" if by_update else "last_id") > wm)
+    return rows.groupBy("date", "device_id").agg(F.bool_or("shrunk").alias("shrunk"))
+
+
+def without_shrunk(target: DataFrame, changed: DataFrame) -> DataFrame:
+    """Target rows without those of a day and device that lost local rows; these are sent whole."""
+    return without_keys(target, changed.filter("shrunk"), ["date", "device_id"])
+
+
 def affected_day_batch(
     usage: DataFrame,
     wm: int | None,

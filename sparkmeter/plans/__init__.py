@@ -6,6 +6,7 @@ from sparkmeter.plans import (  # noqa: F401
     audits,
     calendars,
     columns,
+    jobs,
     parsing,
     pushes,
     saving,

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from sparkmeter.operators import metrics, push
 from sparkmeter.plans.inputs import (
     NOW,
-
     accounts,
     day,
     day_sql,
@@ -358,12 +357,9 @@ def compacted(spark: SparkSession, sf: str) -> DataFrame:
     for i in range(3):
         store.append("usage", usage(spark, sf).filter(F.col("id") % 3 == i))
 
-    def files() -> int:
-        return len(spark.read.parquet(store.location("usage")).inputFiles())
-
-    before = files()
+    before = store.file_sizes("usage").count()
     store.compact("usage")
-    fewer = files() < before
+    fewer = store.file_sizes("usage").count() < before
     return (
         store.read("usage")
         .groupBy("date")
@@ -394,6 +390,3 @@ def cross_device(spark: SparkSession, sf: str) -> DataFrame:
         F.sum("total_tokens").alias("tokens"),
         F.count_distinct("session_id").alias("sessions"),
     )
-
-
-

@@ -261,8 +261,8 @@ def sessions_deleted(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def transcript_tree(spark: SparkSession, facts: DataFrame) -> str:
-    """Facts as a tree of transcripts that restore them."""
+def transcript_lines(facts: DataFrame, *others: str) -> DataFrame:
+    """Facts as lines of transcripts (value) that restore them, beside other columns."""
     line = F.to_json(
         F.struct(
             F.col("message_type").alias("type"),
@@ -289,8 +289,13 @@ def transcript_tree(spark: SparkSession, facts: DataFrame) -> str:
             ).alias("message"),
         )
     )
+    return facts.select(*others, line.alias("value"))
+
+
+def transcript_tree(spark: SparkSession, facts: DataFrame) -> str:
+    """Facts as a tree of transcripts that restore them."""
     path = scratch_path(spark, "tree")
-    facts.select(line.alias("value")).write.text(path)
+    transcript_lines(facts).write.text(path)
     return path
 
 
@@ -397,7 +402,7 @@ _TREE_LINE = (
 )
 
 
-def _tree(spark: SparkSession, sf: str, condition: str, copies: int) -> DataFrame:
+def log_tree(spark: SparkSession, sf: str, condition: str, copies: int) -> DataFrame:
     return (
         table(spark, sf, "events")
         .filter(condition)
@@ -422,11 +427,28 @@ def _tree(spark: SparkSession, sf: str, condition: str, copies: int) -> DataFram
     " 2 * count(*) FILTER (valid) FROM inc WHERE f NOT IN (SELECT f FROM host)",
 )
 def merged(spark: SparkSession, sf: str) -> DataFrame:
-    host = _tree(spark, sf, "event_id DIV 20 % 10 < 6 AND event_id % 20 < 15", 1)
-    incoming = _tree(spark, sf, "event_id DIV 20 % 10 >= 3", 2)
+    host = log_tree(spark, sf, "event_id DIV 20 % 10 < 6 AND event_id % 20 < 15", 1)
+    incoming = log_tree(spark, sf, "event_id DIV 20 % 10 >= 3", 2)
     return merge_summary(merge_log_trees(host, incoming))
 
 
+#: Lines of each file of the host tree after a merge, with the counts of the merge.
+TREE_COUNTS_SQL = (
+    "WITH l AS (SELECT event_id % 20 AS f, event_id // 20 % 10 AS d, " + _TREE_LINE + " AS value,"
+    " event_id % 97 <> 0 AS valid, event_id % 97 <> 0 AND event_id % 50 <> 7 AS named FROM events),"
+    " host AS (SELECT * FROM l WHERE d < 6 AND f < 15), inc AS (SELECT * FROM l WHERE d >= 3),"
+    " added AS (SELECT DISTINCT f, value FROM inc WHERE named AND f IN (SELECT f FROM host)"
+    " AND (f, value) NOT IN (SELECT (f, value) FROM host WHERE named)),"
+    " whole AS (SELECT f, valid FROM inc, range(2) WHERE f NOT IN (SELECT f FROM host)),"
+    " after AS (SELECT f FROM host UNION ALL SELECT f FROM added UNION ALL SELECT f FROM whole)"
+    " SELECT concat('f', f, '.jsonl') AS file_path, count(*) AS lines,"
+    " (SELECT count(DISTINCT f) FROM inc WHERE valid) AS files,"
+    " (SELECT count(*) FROM added) + (SELECT count(*) FILTER (valid) FROM whole) AS records,"
+    " (SELECT 2 * count(*) FILTER (NOT valid) FROM inc) AS skipped_lines,"
+    " CAST(0 AS BIGINT) AS skipped_files, CAST(0 AS BIGINT) AS added_again FROM after GROUP BY f"
+)
+
+
 # --- copying and checking stores -------------------------------------------------------------
 
 _DEVICE = ("d9", "Device 9", "linux")

@@ -15,6 +15,8 @@ _TYPES = {
     "double": T.DoubleType(),
     "date": T.DateType(),
     "timestamp": T.TimestampType(),
+    "boolean": T.BooleanType(),
+    "binary": T.BinaryType(),
 }
 
 
@@ -76,6 +78,17 @@ DEVICES = _table(
     "device_id string, device_name string, device_type string, user_upn string,"
     "organization string, subscription string, last_push_at timestamp"
 )
+#: Days on which the facts may hold an id; a hint that the facts themselves confirm.
+KEYS = _table("message_uuid string, date date, bucket bigint")
+#: Largest id and number given on a day of a device; ``shrunk`` where rows were removed.
+TOUCHED = _table("date date, device_id string, last_id bigint, seq bigint, shrunk boolean")
+#: Number of each session, and the sessions of a slice of the facts as blocks of bits.
+SESSIONS = _table("session_id string, session_no bigint")
+SESSION_BITS = _table(
+    "date date, device_id string, model string, folder string, block bigint, bits binary"
+)
+#: Names of batches that were applied.
+BATCHES = _table("batch string")
 
 
 def conform(

@@ -77,13 +77,8 @@ def settle(df: DataFrame, label: str = "settled", **options: str) -> DataFrame:
     recomputing (a step that follows may rely on row positions or overwrite its own source).
     Inside a ``scratch`` block the files go when the block ends, or earlier by ``Scratch.drop``.
     """
-    spark = df.sparkSession
-    path = scratch_path(spark, label)
-    open_block = _BLOCKS.get()
-    if open_block:
-        open_block[-1].paths.append(path)
-    df.write.mode("errorifexists").options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    blocks = _BLOCKS.get()
+    return (blocks[-1] if blocks else Scratch(df.sparkSession)).settle(df, label, **options)
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -99,6 +94,13 @@ class Scratch:
         self.spark = spark
         self.paths: list[str] = []
 
+    def settle(self, df: DataFrame, label: str = "settled", **options: str) -> DataFrame:
+        """``settle``, held by this job."""
+        path = scratch_path(self.spark, label)
+        self.paths.append(path)
+        df.write.mode("errorifexists").options(**options).parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
     def drop(self, kept: int = 0) -> None:
         """Remove all settled tables but the ``kept`` latest."""
         stale, self.paths = self.paths[: len(self.paths) - kept], self.paths[len(self.paths) - kept :]

@@ -54,6 +54,13 @@ def validate_sources(registry: DataFrame) -> DataFrame:
     )
 
 
+def registered_sources(registry: DataFrame) -> list[Source]:
+    """The valid entries of a registry as sources; an entry is a line of settings, so they are few."""
+    columns = ["path", "format", *DEVICE_COLUMNS]
+    rows = validate_sources(registry).select(*columns).orderBy(*columns).collect()
+    return [Source(**row.asDict()) for row in rows]
+
+
 def tag_device(facts: DataFrame, source: Source) -> DataFrame:
     """Set the device columns to those of a source."""
     return facts.withColumns(

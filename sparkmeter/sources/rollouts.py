@@ -28,13 +28,12 @@ def file_stem(path: Column) -> Column:
     return F.regexp_replace(name, r"(?<=.)\.[^.]*$", "")
 
 
-def parse_rollouts(lines: DataFrame, now: Column, tz: str = "UTC") -> DataFrame:
-    """One fact row per token count with usage.
+#: What a line sets for the lines after it.
+CARRIED = ["model", "folder", "version"]
 
-    Model, folder and version hold from the line that sets them until the next one. Only turns
-    with usage are numbered. Input is what was not read from cache. ``now`` stands in for a
-    missing time.
-    """
+
+def rollout_events(lines: DataFrame) -> DataFrame:
+    """What each line sets (``CARRIED``) and whether it is a token count with usage (``billed``)."""
     kind, usage = F.col("j.type"), "j.payload.info.last_token_usage."
 
     def number(field: str) -> Column:
@@ -44,11 +43,8 @@ def parse_rollouts(lines: DataFrame, now: Column, tz: str = "UTC") -> DataFrame:
     fresh = F.greatest(number("input_tokens") - cached, F.lit(0)).cast("bigint")
     counted = (kind == EVENT) & (F.col("j.payload.type") == TOKENS)
     billed = counted & ((fresh != 0) | (cached != 0) | (number("output_tokens") != 0))
-
-    events = json_rows(lines, _LINE).select(
-        "file_path",
-        "chunk",
-        "pos",
+    return json_rows(lines, _LINE).select(
+        *[c for c in lines.columns if c != "value"],
         iso_timestamp(F.col("j.timestamp")).alias("ts"),
         F.when((kind == CONTEXT) & (F.col("j.payload.model") != ""), F.col("j.payload.model")).alias(
             "model"
@@ -60,14 +56,28 @@ def parse_rollouts(lines: DataFrame, now: Column, tz: str = "UTC") -> DataFrame:
         number("output_tokens").alias("output_tokens"),
         cached.alias("cache_read_tokens"),
     )
+
+
+def parse_rollouts(lines: DataFrame, now: Column, tz: str = "UTC") -> DataFrame:
+    """One fact row per token count with usage.
+
+    Model, folder and version hold from the line that sets them until the next one. Only turns
+    with usage are numbered. Input is what was not read from cache. ``now`` stands in for a
+    missing time.
+    """
     turns = carry_forward(
-        events,
+        rollout_events(lines),
         ["file_path"],
         ["pos"],
-        ["model", "folder", "version"],
+        CARRIED,
         chunk="chunk",
         count=("turn", F.col("billed")),
     ).filter("billed")
+    return rollout_facts(turns, now, tz)
+
+
+def rollout_facts(turns: DataFrame, now: Column, tz: str = "UTC") -> DataFrame:
+    """Facts of numbered turns that know their context."""
     ts = F.coalesce(F.col("ts"), now)
     session = file_stem(F.col("file_path"))
     return with_total(

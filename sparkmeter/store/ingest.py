@@ -1,8 +1,11 @@
-"""Ingest jobs: save facts, keep the rollup, ledger and manifest, rebuild sessions."""
+"""Ingest jobs: save facts, keep the rollup, ledger and manifest, rebuild sessions.
+
+Each job makes one commit per batch (``Store.commit``): facts, rollup, ledger, manifest and indexes
+change together, and a batch that failed anywhere left nothing behind when it is repeated.
+"""
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Iterator
 from datetime import date
 
@@ -16,7 +19,6 @@ from sparkmeter.operators.facts import (
     delete_sessions,
     deleted_dates,
     new_rows,
-    last_sequence,
     upgrades,
 )
 from sparkmeter.operators.metrics import coverage
@@ -32,9 +34,8 @@ from sparkmeter.operators.rollup import (
     replace_ledger,
     save_additive,
 )
-from sparkmeter.operators.upsert import without_keys
 from sparkmeter.schemas import PRICING, USAGE, conform
-from sparkmeter.session import settle
+from sparkmeter.session import scratch, settle
 from sparkmeter.sources.logs import list_files, scan_logs
 from sparkmeter.sources.manifest import (
     needs_parsing,
@@ -43,75 +44,96 @@ from sparkmeter.sources.manifest import (
     update_manifest,
 )
 from sparkmeter.sources.pricing import upsert_pricing
-from sparkmeter.sources.registry import Source, parse_source, union_all
-from sparkmeter.store.tables import Store, on_days
+from sparkmeter.sources.registry import Source, parse_source, registered_sources, union_all
+from sparkmeter.store.index import catch_up, held_rows, key_rows, last_number, shrink_rows
+from sparkmeter.store.journal import GLOB_CHARS
+from sparkmeter.store.tables import Store, day_list, on_values
 
 POSITION = ["file_path", "chunk", "pos"]
-#: Stale files that are read, saved and noted in the manifest together.
-BATCH_FILES = 10_000
-GLOB_CHARS = re.compile(r"([\[\]{}*?\\])")
+#: Stale files are read, saved and noted in the manifest together up to this many bytes and paths.
+BATCH_BYTES = 256 << 30
+BATCH_FILES = 100_000
 
 
 def save_full(
-    store: Store, staging: DataFrame, now: Column, tiebreak: list[str] | None = None
+    store: Store,
+    staging: DataFrame,
+    now: Column,
+    tiebreak: list[str] | None = None,
+    batch: str | None = None,
 ) -> int:
     """Save a batch of facts: upgrade larger repeats, add unknown rows, refresh their days.
 
-    New rows are appended; only days with an upgraded row are rewritten. Saving a batch again
-    changes nothing. Returns the number of rows added.
-    """
-    usage = store.read("usage")
-    gated, changes, first = _changes(usage, staging, tiebreak)
-    store.append("usage", _numbered(new_rows(gated, usage), first))
-    if not changes.isEmpty():
-        held = on_days(store.read("usage"), changes)
-        store.replace_partitions("usage", apply_upgrades(held, changes, F.lit(first + 1)))
-
-    touched = changes.select("date").union(gated.select("date")).distinct()
-    held = store.read("usage")
-    store.replace(
-        "daily", refresh_daily(on_days(held, touched), store.read("daily"), touched, now)
-    )
-    return held.filter(F.col("id") > first).count()
-
-
-def _changes(
-    usage: DataFrame, staging: DataFrame, tiebreak: list[str] | None
-) -> tuple[DataFrame, DataFrame, int]:
-    """The gated batch, the upgrades it brings, and the last number used.
-
-    Both frames are written aside: the batch is parsed once, and the upgrades do not depend on
-    the facts they change.
+    New rows are appended; only days with an upgraded row are rewritten, and only days that may hold
+    an id of the batch are read. Saving a batch again changes nothing; one whose name (``batch``) was
+    saved before is not even read. Returns the number of rows added.
     """
-    gated = settle(conform(batch_gate(staging, tiebreak or POSITION), USAGE), "gated")
-    first = last_sequence(usage).collect()[0]["last"]
-    return gated, settle(upgrades(usage, gated), "upgrades"), first
-
-
-def _numbered(fresh: DataFrame, first: int) -> DataFrame:
+    with store.commit(batch) as fresh, scratch(store.spark):
+        if not fresh:
+            return 0
+        catch_up(store)
+        first = last_number(store)
+        gated = _gated(staging, tiebreak)
+        held = settle(held_rows(store, gated), "held")
+        changes = settle(upgrades(held, gated), "upgrades")
+        added = settle(with_places(new_rows(gated, held).drop("id")), "added")
+        count = _append(store, added, first)
+        days = day_list(changes)
+        if days:
+            rows = on_values(store.read("usage"), "date", days)
+            rewritten = apply_upgrades(rows, changes, F.lit(first + 1))
+            store.replace_partitions("usage", rewritten, covered=["keys"])
+        touched = changes.select("date").union(gated.select("date")).distinct()
+        facts = on_values(store.read("usage"), "date", day_list(touched))
+        store.replace("daily", refresh_daily(facts, store.read("daily"), touched, now))
+    return count
+
+
+def _gated(staging: DataFrame, tiebreak: list[str] | None) -> DataFrame:
+    """The gated batch, written aside, so that its logs are parsed once."""
+    return settle(conform(batch_gate(staging, tiebreak or POSITION), USAGE), "gated")
+
+
+def _numbered(placed: DataFrame, first: int) -> DataFrame:
     """New facts with ids first + 1, first + 2, …, by their places in a written copy."""
-    placed = settle(with_places(fresh.drop("id")), "added")
     rows = number_places(placed, placed, F.lit(first), "id")
     return conform(rows.withColumn("updated_seq", F.col("id")), USAGE)
 
 
-def save_daily(store: Store, batch: DataFrame, now: Column) -> int:
-    """Aggregate mode: add the sums of a batch to the rollup. Returns the days touched."""
-    store.replace("daily", save_additive(batch, store.read("daily"), now))
+def _append(store: Store, placed: DataFrame, first: int) -> int:
+    """Append new facts and their keys; returns their number."""
+    count = placed.count()
+    if count:
+        store.append("usage", _numbered(placed, first))
+        store.cover("keys", key_rows(store, placed))
+    return count
+
+
+def save_daily(store: Store, batch: DataFrame, now: Column, name: str | None = None) -> int:
+    """Aggregate mode: add the sums of a batch to the rollup. Returns the days touched.
+
+    A batch with a ``name`` is added once, however often the call is repeated.
+    """
+    with store.commit(name) as fresh:
+        if not fresh:
+            return 0
+        store.replace("daily", save_additive(batch, store.read("daily"), now))
     return batch.select("date").distinct().count()
 
 
 def save_files(store: Store, facts: DataFrame, now: Column) -> int:
     """Aggregate mode by file: book what each file adds to its earlier contribution.
 
-    Returns the number of responses newly accounted for.
+    Rollup and ledger change in one commit, so a save that is repeated counts nothing twice. Returns
+    the number of responses newly accounted for.
     """
-    fresh = settle(file_contribution(facts), "fresh")
-    ledger, manifest = store.read("ledger"), store.read("manifest")
-    changes = settle(ledger_changes(fresh, ledger, manifest), "changes")
-    store.replace("daily", apply_ledger_delta(changes, store.read("daily"), now))
-    store.replace("ledger", replace_ledger(fresh, ledger))
-    return newly_counted(changes).collect()[0]["new_responses"]
+    with store.commit(), scratch(store.spark):
+        fresh = settle(file_contribution(facts), "fresh")
+        ledger, manifest = store.read("ledger"), store.read("manifest")
+        changes = settle(ledger_changes(fresh, ledger, manifest), "changes")
+        store.replace("daily", apply_ledger_delta(changes, store.read("daily"), now))
+        store.replace("ledger", replace_ledger(fresh, ledger))
+        return newly_counted(changes).collect()[0]["new_responses"]
 
 
 def ingest(
@@ -122,52 +144,81 @@ def ingest(
     aggregate: bool = False,
     force: bool = False,
     glob: str = "*.jsonl",
+    today: date | None = None,
 ) -> tuple[int, dict[str, str]]:
     """Parse the stale files of all sources and save them; returns rows saved and failures.
 
     Stale and deleted files come from one comparison over all sources. A source that fails is
-    reported and stays stale; the others are saved. File stats are taken before parsing.
+    reported and stays stale; the others are saved. File stats are taken before parsing, and
+    are noted in the commit that saves the facts. With ``today`` the rollup gets a row for every day up
+    to it.
     """
     sources, spark = list(sources), store.spark
-    listed = [
-        list_files(spark, s.path, glob).withColumn("_source", F.lit(i))
-        for i, s in enumerate(sources)
-    ]
-    status = settle(stale_files(union_all(listed), store.read("manifest")), "stale")
-    present = F.col("status") != "deleted"
-    stale = status.filter(present) if force else needs_parsing(status)
-    saved, failures = 0, {}
-    for i, source in enumerate(sources):
-        mine = stale.filter(F.col("_source") == i)
-        try:
-            for names in _batches(mine):
-                lines = scan_logs(spark, [GLOB_CHARS.sub(r"\\\1", n) for n in names], glob)
-                facts = parse_source(lines, source, now, tz)
-                saved += save_files(store, facts, now) if aggregate else save_full(store, facts, now)
-                read = mine.filter(F.col("file_path").isin(names))
-                store.replace(
-                    "manifest",
-                    update_manifest(store.read("manifest"), read.select("file_path"), read, now),
-                )
-        except Exception as error:
-            failures[source.path] = str(error)
-    gone = status.filter(~present)
-    if not force and not gone.isEmpty():
-        store.replace("manifest", prune_manifest(store.read("manifest"), gone))
+    with scratch(spark):
+        listed = [
+            list_files(spark, s.path, glob).withColumn("_source", F.lit(i))
+            for i, s in enumerate(sources)
+        ]
+        status = settle(stale_files(union_all(listed), store.read("manifest")), "stale")
+        present = F.col("status") != "deleted"
+        stale = status.filter(present) if force else needs_parsing(status)
+        saved, failures = 0, {}
+        # One row per source: the sources that have anything to read.
+        pending = {r["_source"] for r in stale.select("_source").distinct().collect()}
+        for i in sorted(pending):
+            mine = stale.filter(F.col("_source") == i)
+            try:
+                for names in _batches(mine):
+                    saved += _ingest_files(store, sources[i], names, mine, now, tz, aggregate, glob)
+            except Exception as error:
+                failures[sources[i].path] = str(error)
+        gone = status.filter(~present)
+        if not force and not gone.isEmpty():
+            store.replace("manifest", prune_manifest(store.read("manifest"), gone))
+    if today is not None:
+        close_gaps(store, today, now)
     return saved, failures
 
 
-def _batches(files: DataFrame) -> Iterator[list[str]]:
-    """Paths of the stale files of one source, a batch at a time, always by their paths.
+def _ingest_files(
+    store: Store,
+    source: Source,
+    names: list[str],
+    stats: DataFrame,
+    now: Column,
+    tz: str,
+    aggregate: bool,
+    glob: str,
+) -> int:
+    """Save some files of a source and note them, in one commit."""
+    with store.commit():
+        lines = scan_logs(store.spark, [GLOB_CHARS.sub(r"\\\1", n) for n in names], glob)
+        facts = parse_source(lines, source, now, tz)
+        saved = save_files(store, facts, now) if aggregate else save_full(store, facts, now)
+        read = stats.filter(F.col("file_path").isin(names))
+        manifest = update_manifest(store.read("manifest"), read.select("file_path"), read, now)
+        store.replace("manifest", manifest)
+    return saved
 
-    Saves are keyed, so a batch that is repeated after a failure changes nothing more.
-    """
+
+def ingest_registry(
+    store: Store, registry: DataFrame, now: Column, **options: object
+) -> tuple[int, dict[str, str]]:
+    """``ingest`` for the valid entries of a registry table."""
+    return ingest(store, registered_sources(registry), now, **options)
+
+
+def _batches(files: DataFrame) -> Iterator[list[str]]:
+    """Paths of the stale files of one source, a batch at a time, always by their paths."""
     names: list[str] = []
-    for row in files.select("file_path").orderBy("file_path").toLocalIterator():
+    size = 0
+    rows = files.select("file_path", "size_bytes").orderBy("file_path")
+    for row in rows.toLocalIterator():
         names.append(row["file_path"])
-        if len(names) == BATCH_FILES:
+        size += row["size_bytes"] or 0
+        if size >= BATCH_BYTES or len(names) == BATCH_FILES:
             yield names
-            names = []
+            names, size = [], 0
     if names:
         yield names
 
@@ -179,47 +230,63 @@ def rebuild(
     tag: str,
     tz: str = "UTC",
     glob: str = "*.jsonl",
+    failures: dict[str, str] | None = None,
 ) -> int:
     """Replace the rows of every session still in the logs by a fresh ingest.
 
     Sessions whose logs are gone keep their rows. The facts are copied aside first, and pushes
-    to the server sink are blocked until its target is repaired.
+    to the server sink are blocked until its target is repaired. Each source is one commit: one
+    that fails keeps its rows and is put into ``failures`` (or raised when the others are
+    done). New rows get numbers that were never given, so the next push sends their days.
     """
-    snapshot_table(store, "usage", tag)
-    store.replace("sync_state", set_state(store.read("sync_state"), {f"server.{GUARD}": "1"}))
+    failed: dict[str, str] = {}
     saved = 0
+    with store.commit():
+        snapshot_table(store, "usage", tag)
+        state = set_state(store.read("sync_state"), {f"server.{GUARD}": "1"})
+        store.replace("sync_state", state)
     for source in sources:
-        facts = settle(parse_source(scan_logs(store.spark, source.path, glob), source, now, tz), "facts")
-        sessions = facts.select("session_id").distinct()
-        usage = store.read("usage")
-        days = settle(
-            deleted_dates(usage, sessions, source.device_id)
-            .union(facts.select("date"))
-            .distinct(),
-            "days",
-        )
-        left = delete_sessions(usage, sessions, source.device_id)
-        gated, changes, first = _changes(left, facts, None)
-        added = _numbered(new_rows(gated, left), first)
-        days = settle(
-            days.union(changes.select("date")).union(added.select("date")).distinct(), "days"
-        )
-        rewritten = settle(
-            apply_upgrades(on_days(left, days), changes, F.lit(first + 1)).unionByName(added),
-            "rewritten",
-        )
-        if without_keys(days, rewritten, ["date"]).isEmpty():
-            store.replace_partitions("usage", rewritten)
-        else:
-            # A day that lost all its rows has to disappear, so the table is written as a whole.
-            rest = without_keys(usage, days, ["date"])
-            store.replace("usage", rest.unionByName(rewritten))
-        saved += added.count()
-        held = on_days(store.read("usage"), days)
-        store.replace("daily", recompute_daily(held, store.read("daily"), days, now))
+        try:
+            with store.commit(), scratch(store.spark):
+                saved += _rebuild_source(store, source, now, tz, glob)
+        except Exception as error:
+            failed[source.path] = str(error)
+    if failures is not None:
+        failures.update(failed)
+    elif failed:
+        raise RuntimeError(f"not rebuilt: {failed}")
     return saved
 
 
+def _rebuild_source(store: Store, source: Source, now: Column, tz: str, glob: str) -> int:
+    spark, device = store.spark, source.device_id
+    stats = settle(list_files(spark, source.path, glob), "files")
+    catch_up(store)
+    first = last_number(store)
+    parsed = parse_source(scan_logs(spark, source.path, glob), source, now, tz)
+    gated = _gated(parsed, None)
+    sessions = gated.select("session_id").distinct()
+    usage = store.read("usage")
+    shrunk = settle(deleted_dates(usage, sessions, device), "shrunk")
+    held = settle(delete_sessions(held_rows(store, gated), sessions, device), "held")
+    changes = settle(upgrades(held, gated), "upgrades")
+    added = settle(with_places(new_rows(gated, held).drop("id")), "added")
+    count = added.count()
+    days = shrunk.union(changes.select("date")).union(gated.select("date")).distinct()
+    names = day_list(days)
+    left = delete_sessions(on_values(usage, "date", names), sessions, device)
+    rewritten = apply_upgrades(left, changes, F.lit(first + 1)).unionByName(_numbered(added, first))
+    # A listed day that lost all its rows disappears with its folder.
+    store.replace_partitions("usage", rewritten, names, covered=["keys"])
+    store.cover("keys", key_rows(store, added))
+    store.append("touched", shrink_rows(shrunk, device, first + max(count, 1)))
+    facts = on_values(store.read("usage"), "date", names)
+    store.replace("daily", recompute_daily(facts, store.read("daily"), days, now))
+    manifest = update_manifest(store.read("manifest"), stats.select("file_path"), stats, now)
+    store.replace("manifest", manifest)
+    return count
+
+
 def snapshot_table(store: Store, table: str, tag: str) -> DataFrame:
     """Copy a table beside itself before a destructive step; its count and range of days."""
     rows = store.read(table)

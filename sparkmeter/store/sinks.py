@@ -1,7 +1,8 @@
 """Push jobs to the two kinds of sinks.
 
 The *lake* sink keeps daily facts that are replaced by key; the *server* sink keeps facts that
-are only added to. A watermark moves only after its rows were written.
+are only added to. Which days changed is read from the change log, not from the facts; the tables
+of a target change in one commit, and a watermark moves only after that.
 """
 
 from __future__ import annotations
@@ -10,15 +11,16 @@ from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from sparkmeter.operators import push
 from sparkmeter.operators.filters import device_filter
 from sparkmeter.operators.metrics import devices_dim, usage_daily
 from sparkmeter.schemas import LIMITS, conform
-from sparkmeter.session import settle
-from sparkmeter.store.tables import Store, on_days
+from sparkmeter.session import scratch, settle
+from sparkmeter.store.index import catch_up, last_number
+from sparkmeter.store.tables import Store, day_list, on_values
 
 
 @dataclass(frozen=True)
@@ -51,9 +53,10 @@ def push_lake(
     ``by_update`` lets the watermark follow upgrades too, so a day whose rows only grew is sent
     again; without it only new ids count.
     """
-    usage, limits = local.read("usage"), local.read("limits")
+    catch_up(local)
+    usage, limits, touched = (local.read(t) for t in ("usage", "limits", "touched"))
     plan = push.plan_push(
-        usage,
+        push.as_numbers(touched),
         limits,
         local.read("sync_state"),
         sink,
@@ -67,13 +70,36 @@ def push_lake(
         return Pushed()
 
     stamp, new_records = F.lit(now).cast("timestamp"), 0
-    if plan["new_usage"] or full:
-        fresh = push.source_rows(usage, plan["wm_id"], devices, by_update)
-        rows = on_days(device_filter(usage, devices), fresh)
-        batch = settle(usage_daily(rows, stamp), "batch")
-        held = on_days(target.read("usage_daily"), batch)
-        target.replace_partitions("usage_daily", push.push_daily(held, batch))
-        new_records = fresh.count()
+    with target.commit(), scratch(local.spark):
+        if plan["new_usage"] or full:
+            changed = push.changed_days(touched, plan["wm_id"], devices, by_update)
+            days = day_list(changed)
+            rows = on_values(device_filter(usage, devices), "date", days)
+            batch = settle(usage_daily(rows, stamp), "batch")
+            held = on_values(target.read("usage_daily"), "date", days)
+            held = push.without_shrunk(held, changed)
+            target.replace_partitions("usage_daily", push.push_daily(held, batch), days)
+            new_records = push.source_rows(rows, plan["wm_id"], by_update=by_update).count()
+        done, failed = _push_lake_side(local, target, plan, devices, accounts, stamp)
+    count = (plan["push_count"] or 0) + 1
+    done |= {push.LAST_PUSH: str(int(now.timestamp())), push.PUSH_COUNT: str(count)}
+    _save_state(local, sink, done)
+    if compact_every > 0 and count % compact_every == 0:
+        for table in ("usage_daily", "devices"):
+            target.compact(table)
+    return Pushed(new_records, False, failed)
+
+
+def _push_lake_side(
+    local: Store,
+    target: Store,
+    plan: Row,
+    devices: list[str] | None,
+    accounts: DataFrame,
+    stamp: Column,
+) -> tuple[dict[str, str | None], list[str]]:
+    """Push prices, devices and readings; the watermarks that may move, and the failed tables."""
+    usage, limits = local.read("usage"), local.read("limits")
     done = {push.WATERMARK: _text(plan["max_id"])}
 
     side: dict[str, Callable[[], None]] = {
@@ -96,22 +122,17 @@ def push_lake(
     failed = _run_side_tables(side)
     if "limits" not in failed:
         done[push.LIMITS_WATERMARK] = _text(plan["max_limits_ts"])
-    count = (plan["push_count"] or 0) + 1
-    done |= {push.LAST_PUSH: str(int(now.timestamp())), push.PUSH_COUNT: str(count)}
-    _save_state(local, sink, done)
-    if compact_every > 0 and count % compact_every == 0:
-        for table in ("usage_daily", "devices"):
-            target.compact(table)
-    return Pushed(new_records, False, failed)
+    return done, failed
 
 
 def push_server(
     local: Store, target: Store, now: datetime, full: bool = False, sink: str = "server"
 ) -> Pushed:
     """Add the local rows the target lacks, then its side tables."""
-    usage, limits = local.read("usage"), local.read("limits")
+    catch_up(local)
+    usage, limits, touched = (local.read(t) for t in ("usage", "limits", "touched"))
     plan = push.plan_push(
-        usage, limits, local.read("sync_state"), sink, now.timestamp(), full=full
+        push.as_numbers(touched), limits, local.read("sync_state"), sink, now.timestamp(), full=full
     ).collect()[0]
     if plan["blocked"]:
         raise PushBlocked(f"{sink}: repair the target after the rebuild")
@@ -119,15 +140,28 @@ def push_server(
         return Pushed()
 
     new_records = 0
-    if plan["new_usage"] or full:
-        remote = target.read("usage")
-        if plan["wm_id"] is None or remote.isEmpty():
-            rows = push.full_rows(usage, remote)
-        else:
-            rows = push.incremental_rows(usage, remote, plan["wm_id"])
-        rows = settle(rows, "pushed")
-        target.append("usage", rows)
-        new_records = rows.count()
+    with target.commit(), scratch(local.spark):
+        if plan["new_usage"] or full:
+            remote = target.read("usage")
+            if plan["wm_id"] is None or remote.isEmpty():
+                rows = push.full_rows(usage, remote)
+            else:
+                days = day_list(push.changed_days(touched, plan["wm_id"]))
+                fresh = on_values(usage, "date", days)
+                rows = push.incremental_rows(fresh, remote, plan["wm_id"])
+            rows = settle(rows, "pushed")
+            target.append("usage", rows)
+            new_records = rows.count()
+        failed = _push_server_side(local, target, plan, limits)
+    done = {push.WATERMARK: _text(plan["max_id"])}
+    if "limits" not in failed:
+        done[push.LIMITS_WATERMARK] = _text(plan["max_limits_ts"])
+    _save_state(local, sink, done)
+    return Pushed(new_records, False, failed)
+
+
+def _push_server_side(local: Store, target: Store, plan: Row, limits: DataFrame) -> list[str]:
+    """Push prices and readings; the tables that failed."""
     side: dict[str, Callable[[], None]] = {}
     if plan["wm_id"] is None:
         side["pricing"] = lambda: target.replace(
@@ -137,12 +171,7 @@ def push_server(
         side["limits"] = lambda: target.replace(
             "limits", push.push_limits(conform(limits, LIMITS), target.read("limits"))
         )
-    failed = _run_side_tables(side)
-    done = {push.WATERMARK: _text(plan["max_id"])}
-    if "limits" not in failed:
-        done[push.LIMITS_WATERMARK] = _text(plan["max_limits_ts"])
-    _save_state(local, sink, done)
-    return Pushed(new_records, False, failed)
+    return _run_side_tables(side)
 
 
 def repair_server(local: Store, target: Store, tag: str, sink: str = "server") -> None:
@@ -151,18 +180,18 @@ def repair_server(local: Store, target: Store, tag: str, sink: str = "server") -
     The new table is checked per device before it replaces the old one, and the old one is kept
     beside it. The guard of the rebuild is cleared last.
     """
-    usage, remote = local.read("usage"), settle(target.read("usage"), "remote")
+    catch_up(local)
+    usage, remote = local.read("usage"), target.read("usage")
     if push.repair_conflict(usage, remote).collect()[0]["abort"]:
         raise RuntimeError("rows without device on both sides cannot be told apart")
-    repaired = settle(push.repair_target(usage, remote), "repaired")
-    wrong = push.repair_differences(usage, remote, repaired)
-    if not wrong.isEmpty():
-        raise RuntimeError("repair verification failed; the target is unchanged")
     remote.write.mode("errorifexists").parquet(f"{target.location('usage')}@{tag}")
-    target.replace("usage", repaired)
-    target.replace("pricing", local.read("pricing"))
-    top = usage.agg(F.max("id").alias("n")).collect()[0]["n"]
-    _save_state(local, sink, {push.WATERMARK: _text(top), push.GUARD: "0"})
+    with target.commit():
+        target.replace("usage", push.repair_target(usage, remote))
+        # The files of ``remote`` are still there; a mismatch takes the new ones back.
+        if not push.repair_differences(usage, remote, target.read("usage")).isEmpty():
+            raise RuntimeError("repair verification failed; the target is unchanged")
+        target.replace("pricing", local.read("pricing"))
+    _save_state(local, sink, {push.WATERMARK: _text(last_number(local)), push.GUARD: "0"})
 
 
 def clear_guard(local: Store, sink: str = "server") -> None:
