@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkmeter.session import settle
+from sparkmeter.session import Scratch
 
 ROUNDS = 60
 
@@ -18,12 +18,14 @@ def connected(links: DataFrame) -> DataFrame:
     logarithm of the longest path. Each round is written, so that no lineage builds up; a hub is
     one sum and a join that adaptive execution may split.
     """
-    edges = _settled(links.filter("a <> b").select("a", "b"))
+    held = Scratch(links.sparkSession)
+    edges = _settled(held, links.filter("a <> b").select("a", "b"))
     for _ in range(ROUNDS):
         large = _star(edges, large=True)
-        small = _settled(_star(large, large=False))
+        small = _settled(held, _star(large, large=False))
         same = small.exceptAll(edges).isEmpty() if _size(small) == _size(edges) else False
         edges = small
+        held.drop(kept=1)
         if same:
             break
     else:
@@ -33,10 +35,10 @@ def connected(links: DataFrame) -> DataFrame:
     )
 
 
-def _settled(edges: DataFrame) -> DataFrame:
+def _settled(held: Scratch, edges: DataFrame) -> DataFrame:
     """Links from the larger to the smaller node, each once."""
     ordered = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    return settle(ordered.filter("a <> b").distinct(), "links")
+    return held.settle(ordered.filter("a <> b").distinct(), "links")
 
 
 def _size(edges: DataFrame) -> int:

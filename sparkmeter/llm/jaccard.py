@@ -38,7 +38,7 @@ from sparkmeter.llm.components import connected
 from sparkmeter.llm.expressions import table
 from sparkmeter.llm.registry import query
 from sparkmeter.llm.words import chunks, mix, shingle_sets
-from sparkmeter.session import settle
+from sparkmeter.session import Scratch, settle
 
 WORDS, PERCENT = 5, 80
 #: Buckets of the token counts: their number is fixed, so they may be sent to every task.
@@ -118,12 +118,19 @@ def prefix(tokens: np.ndarray, ranks: np.ndarray, order: int, percent: int) -> n
     return tokens[first]
 
 
-def _postings(words: int, percent: int, ranks: Broadcast):
+def _hit(part: pa.RecordBatch, bits: Broadcast) -> pa.RecordBatch:
+    """The rows whose bit is set."""
+    bit = part.column("bit").to_numpy(zero_copy_only=False)
+    hit = (bits.value[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1) > 0
+    return part.filter(pa.array(hit))
+
+
+def _postings(words: int, percent: int, ranks: Broadcast, bits: Broadcast):
     """(token, node, n): the first order's prefix of each set that can link with another."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, "text"):
+            for part in chunks(_hit(batch, bits), "text"):
                 tokens, nodes, sizes = [], [], []
                 for own in shingle_sets(part.column("text"), words):
                     if _links_possible(len(own), percent):
@@ -144,6 +151,14 @@ def _postings(words: int, percent: int, ranks: Broadcast):
     return run
 
 
+def _sized(lists: DataFrame) -> DataFrame:
+    """Lists of two rows at least, with their length and their least node (and its size)."""
+    sizes = lists.groupBy("token").agg(
+        F.count("*").alias("size"), F.min(F.struct("node", "n")).alias("least")
+    )
+    return lists.join(sizes.filter(F.col("size") > 1), "token")
+
+
 def _links_possible(n: int, percent: int) -> bool:
     """Whether a set of ``n`` tokens can link with a different set (n of n + 1 tokens at best)."""
     return 100 * n >= percent * (n + 1)
@@ -165,10 +180,7 @@ def _details(words: int, percent: int, ranks: Broadcast, bits: Broadcast, full:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, "text"):
-                bit = part.column("bit").to_numpy(zero_copy_only=False)
-                hit = (bits.value[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1) > 0
-                part = part.filter(pa.array(hit))
+            for part in chunks(_hit(batch, bits), "text"):
                 nodes, names, sets = [], [], []
                 for own in shingle_sets(part.column("text"), words):
                     nodes.append(_node(own))
@@ -340,18 +352,29 @@ class Join:
         )
         counts = rows.filter("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("count").alias("n"))
         ranks = np.zeros(BUCKETS, dtype=np.uint8)
-        for r in counts.collect():  # a fixed number of buckets
-            ranks[r["bucket"]] = int(4 * np.log2(r["n"]))
+        found = counts.toArrow()  # a fixed number of buckets
+        ranks[found.column("bucket").to_numpy()] = (4 * np.log2(found.column("n").to_numpy())).astype(int)
         self.ranks = self.spark.sparkContext.broadcast(ranks)
+        self.held: list[Broadcast] = []
+
+    def lists(self, drop: Scratch) -> DataFrame:
+        """(token, node, n, size, least) of the first order, of tokens with two postings at least.
 
-    def lists(self) -> DataFrame:
-        """(token, node, n) of the first order, of tokens with two nodes at least."""
-        postings = self.texts.select("text").mapInArrow(
-            _postings(self.words, self.percent, self.ranks), "token long, node long, n long"
+        Only the first text of each node is read; the few nodes that come twice by chance make a
+        list longer than it is and are told apart where pairs are made.
+        """
+        able = self.nodes.filter(F.col("n") * 100 >= (F.col("n") + 1) * self.percent)
+        postings = drop.settle(
+            self._asked(able).mapInArrow(
+                _postings(self.words, self.percent, self.ranks, self.held[-1]),
+                "token long, node long, n long",
+            ),
+            "postings",
         )
-        spread = postings.groupBy("token").agg(F.min("node").alias("x"), F.max("node").alias("y"))
-        wanted = spread.filter("x <> y").select("token")
-        return settle(postings.join(wanted, "token", "left_semi").distinct(), "lists")
+        self._release()
+        sized = drop.settle(_sized(postings), "sized")
+        drop.drop(kept=1)
+        return sized
 
     def details(self, names: DataFrame, full: bool) -> DataFrame:
         """(node, name, tokens) of some nodes, each from its first text; or prefixes as tokens.
@@ -359,23 +382,33 @@ class Join:
         The texts are not shuffled: a bitmap of fixed size tells most rows that are not asked for,
         and a join with the asked nodes drops the others.
         """
-        first = self.nodes.join(names, "node", "left_semi").groupBy("node").agg(
-            F.min(F.struct("doc_id", "key")).alias("w")
+        found = self._asked(self.nodes.join(names, "node", "left_semi")).mapInArrow(
+            _details(self.words, self.percent, self.ranks, self.held[-1], full),
+            "node long, name binary, tokens binary",
         )
+        # Repeated rows, and rows that meet a bit by chance, bring a node again.
+        return found.dropDuplicates(["node"])
+
+    def _asked(self, nodes: DataFrame) -> DataFrame:
+        """(bit, text) of all texts, and the bits of the first text of each of some nodes."""
+        first = nodes.groupBy("node").agg(F.min(F.struct("doc_id", "key")).alias("w"))
         bit = lambda *c: F.pmod(F.xxhash64(*c), F.lit(BITS))
         marks = first.select(bit("w.doc_id", "w.key").alias("bit")).groupBy(
             F.shiftright("bit", 6).alias("word")
         )
-        bits = np.zeros(BITS // 64, dtype=np.uint64)
         one = F.lit(1).cast("bigint")
         mark = F.call_function("shiftleft", one, F.col("bit").bitwiseAND(F.lit(63)).cast("int"))
-        for r in marks.agg(F.bit_or(mark).alias("b")).collect():  # a fixed number of words
-            bits[r["word"]] = np.uint64(r["b"] & ((1 << 64) - 1))
-        held = self.spark.sparkContext.broadcast(bits)
-        return self.texts.select(bit("doc_id", "key").alias("bit"), "text").mapInArrow(
-            _details(self.words, self.percent, self.ranks, held, full),
-            "node long, name binary, tokens binary",
-        )
+        words = marks.agg(F.bit_or(mark).alias("b")).toArrow()  # a fixed number of words
+        bits = np.zeros(BITS // 64, dtype=np.uint64)
+        bits[words.column("word").to_numpy()] = words.column("b").to_numpy().view(np.uint64)
+        self.held.append(self.spark.sparkContext.broadcast(bits))
+        return self.texts.select(bit("doc_id", "key").alias("bit"), "text")
+
+    def _release(self) -> None:
+        """Drop the filters of steps that are written."""
+        for held in self.held:
+            held.destroy()
+        self.held = []
 
     def linked(self, shared: Column, na: Column, nb: Column) -> Column:
         return shared * 100 >= (na + nb - shared) * self.percent
@@ -383,25 +416,26 @@ class Join:
     def _with_sets(self, pairs: DataFrame, full: bool) -> DataFrame:
         """Pairs with the sets (or other prefixes) of both sides."""
         both = pairs.select("a").unionAll(pairs.select("b")).select(F.col("a").alias("node")).distinct()
-        details = self.details(both, full).repartition("node")
+        details = self.details(both, full)
         side = lambda c, t, n: details.select(
             F.col("node").alias(c), F.col("tokens").alias(t), F.col("name").alias(n)
         )
         return pairs.join(side("a", "ta", "an"), "a").join(side("b", "tb", "bn"), "b")
 
-    def measure(self, pairs: DataFrame) -> DataFrame:
+    def measure(self, pairs: DataFrame, drop: Scratch) -> DataFrame:
         """Exact counts of pairs (a, b, lead) that pass the other orders' prefix filters.
 
         Pairs with a leader skip the filters: their distance is needed even where it is large.
         """
         plain = self._with_sets(pairs.filter("NOT lead"), full=False)
         filtered = plain.select("a", "b", "ta", "tb").mapInArrow(_share_prefixes, "a long, b long")
-        kept = settle(
+        kept = drop.settle(
             filtered.withColumn("lead", F.lit(False)).unionAll(
                 pairs.filter("lead").select("a", "b", "lead")
             ),
             "candidates",
         )
+        self._release()
         measured = (
             self._with_sets(kept, full=True)
             .select("a", "b", "an", "bn", "lead", "ta", "tb")
@@ -410,11 +444,13 @@ class Join:
                 "a long, b long, an binary, bn binary, shared long, na long, nb long, lacks binary, adds binary",
             )
         )
-        return settle(measured, "measured")
+        out = drop.settle(measured, "measured")
+        self._release()
+        return out
 
     def short_pairs(self, lists: DataFrame) -> DataFrame:
         """Pairs of nodes in one short list, sizes apart at most as the threshold allows."""
-        rows = lists.groupBy("token").agg(F.sort_array(F.collect_list(F.struct("node", "n"))).alias("l"))
+        rows = lists.groupBy("token").agg(F.sort_array(F.collect_set(F.struct("node", "n"))).alias("l"))
 
         def beside(x: Column, i: Column) -> Column:
             rest = F.slice(F.col("l"), i + 2, F.size("l"))
@@ -437,24 +473,19 @@ class Join:
 
     def links(self) -> DataFrame:
         """(a, b) links that join all nodes of each component."""
-        lists = self.lists()
+        spark = self.spark
+        tables, work = Scratch(spark), Scratch(spark)
+        sized = self.lists(tables)
         found: list[DataFrame] = []
         for turn in range(LED_ROUNDS + 1):
-            sizes = lists.groupBy("token").agg(
-                F.count("*").alias("size"), F.min(F.struct("node", "n")).alias("least")
-            )
-            sized = settle(lists.join(sizes, "token"), "sized")
             short = sized.filter(F.col("size") <= SHORT).select("token", "node", "n")
             long = sized.filter(F.col("size") > SHORT).select(
                 "token", "node", "n", F.col("least.node").alias("lead"), F.col("least.n").alias("lead_n")
             )
             if turn == LED_ROUNDS:
-                rest = self.measure(settle(self.long_pairs(long), "pairs"))
-                found.append(
-                    rest.filter(self.linked(F.col("shared"), F.col("na"), F.col("nb"))).select(
-                        F.col("an").alias("a"), F.col("bn").alias("b")
-                    )
-                )
+                rest = self.measure(work.settle(self.long_pairs(long), "pairs"), work)
+                found.append(self._links_of(rest))
+                work.drop()
                 long = long.limit(0)
             # Sizes alone put a member outside of what is compared below.
             close = F.least("n", "lead_n") >= (1 - _reach(self.percent)) * F.greatest("n", "lead_n")
@@ -465,26 +496,35 @@ class Join:
                 .distinct()
                 .withColumn("lead", F.lit(True))
             )
-            measured = self.measure(settle(pairs.unionAll(led), "pairs"))
-            hit = self.linked(F.col("shared"), F.col("na"), F.col("nb"))
-            found.append(measured.filter(hit).select(F.col("an").alias("a"), F.col("bn").alias("b")))
+            measured = self.measure(work.settle(pairs.unionAll(led), "pairs"), work)
+            work.drop(kept=1)
+            found.append(self._links_of(measured))
             if turn == LED_ROUNDS or long.isEmpty():
                 break
             found.append(settle(self.near_links(measured.filter("lacks IS NOT NULL")), "near"))
             inside = measured.filter(
                 1 - F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared")) <= RADIUS
             ).select(F.col("a").alias("lead"), F.col("b").alias("node"))
-            lists = settle(
-                long.filter("node <> lead")
-                .join(inside, ["lead", "node"], "left_anti")
-                .select("token", "node", "n"),
-                "far",
-            )
+            far = long.filter("node <> lead").join(inside, ["lead", "node"], "left_anti")
+            # Nodes that came twice by chance do so once here.
+            lists = work.settle(far.select("token", "node", "n").distinct(), "far")
+            sized = tables.settle(_sized(lists), "sized")
+            tables.drop(kept=1)
+            work.drop()
+        work.drop()
+        tables.drop()
         out = found[0]
         for more in found[1:]:
             out = out.unionAll(more)
         return out
 
+    def _links_of(self, measured: DataFrame) -> DataFrame:
+        """The measured pairs that link, written by themselves."""
+        hit = self.linked(F.col("shared"), F.col("na"), F.col("nb"))
+        return settle(
+            measured.filter(hit).select(F.col("an").alias("a"), F.col("bn").alias("b")), "linked"
+        )
+
     def near_links(self, near: DataFrame) -> DataFrame:
         """Links among the near members of each leader that do not both link with it."""
         members = near.withColumn("linked", self.linked(F.col("shared"), F.col("na"), F.col("nb")))
