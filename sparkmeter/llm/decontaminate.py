@@ -13,8 +13,10 @@ passage has at least ``LCS_SHARE`` of the item's words (so reworded items count)
 ``ANSWER_SHARE`` of the item's rarest words, which stand for its answer, are there too. Items of
 fewer than ``SHORTEST`` words must be found whole.
 
-Null or empty texts and items match nothing. Repeated rows repeat their result rows; a repeated
-item id gives the best of its texts. Other columns are ignored.
+Every place over the threshold is tried, the best first, until one holds the item. There is one row per
+document and item: the best over repeated rows, repeated ids and, where an item id has several
+texts, over these. Null or empty texts and items match nothing; null ids are one id. Other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,14 +75,10 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def inverse_frequencies(docs: DataFrame, text: str = "text") -> np.ndarray:
     """Weight of each bucket from all documents."""
     parts = docs.select(F.col(text).alias("text")).mapInArrow(_frequencies, "bucket long, n long")
-    counts = np.zeros(DIMENSIONS)
-    total = 0
-    for r in parts.groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # fixed number of buckets
-        if r["bucket"] < 0:
-            total = r["n"]
-        else:
-            counts[r["bucket"]] = r["n"]
-    return np.log((total + 1) / (counts + 1)) + 0.1
+    found = parts.groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # fixed number of buckets
+    counts = np.zeros(DIMENSIONS + 1)
+    counts[found.column("bucket").to_numpy()] = found.column("n").to_numpy()  # -1 is the last
+    return np.log((counts[-1] + 1) / (counts[:-1] + 1)) + 0.1
 
 
 def _passages(found, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -108,29 +107,27 @@ def _pair_sums(values: np.ndarray, start: np.ndarray, row: np.ndarray, first: np
 
 @dataclass(frozen=True)
 class Space:
-    """TF-IDF weights, the latent basis, and which buckets the benchmark has."""
+    """TF-IDF weights, the buckets that the benchmark has, and the latent basis of these."""
 
     idf: np.ndarray
+    #: Row of each bucket in the basis; buckets that the benchmark lacks have the last row, all 0.
+    index: np.ndarray
     basis: np.ndarray
-    known: np.ndarray
 
-    def vectors(self, hashes: np.ndarray, places) -> np.ndarray:
-        weighted = self.basis[_buckets(hashes)]
-        found = _pair_sums(weighted, *places)
-        return found / np.maximum(np.linalg.norm(found, axis=1, keepdims=True), 1e-9)
-
-    def norm_shares(self, hashes: np.ndarray, places) -> np.ndarray:
+    def norm_shares(self, buckets: np.ndarray, places) -> np.ndarray:
         """Share of each passage's norm on words of the benchmark (words of a passage once each)."""
-        squares = self.idf[_buckets(hashes)] ** 2
-        both = _pair_sums(np.stack([squares * self.known[_buckets(hashes)], squares], axis=1), *places)
+        squares = (self.idf**2)[buckets]
+        known = np.where((self.index < len(self.basis) - 1)[buckets], squares, 0)
+        both = _pair_sums(np.stack([known, squares], axis=1), *places)
         return np.sqrt(both[:, 0] / np.maximum(both[:, 1], 1e-12))
 
 
-def _products(idf: np.ndarray, right: np.ndarray):
-    """(k, v): a task's part of A'A times ``right``, as rows of the result that are not zero."""
+def _products(held: Broadcast):
+    """(k, v): a task's part of A'A times a thin matrix, as rows of the result that are not zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((DIMENSIONS, right.shape[1]))
+        idf, index, right = held.value
+        total = np.zeros(right.shape)
         for batch in batches:
             for part in chunks(batch, "text"):
                 found, hashes = _word_hashes(part.column("text"))
@@ -138,13 +135,13 @@ def _products(idf: np.ndarray, right: np.ndarray):
                     continue
                 places = _passages(found, part.num_rows)
                 buckets = _buckets(hashes)
-                weights = idf[buckets][:, None]
-                scores = _pair_sums(weights * right[buckets], *places)
+                rows, weights = index[buckets], idf[buckets][:, None]
+                scores = _pair_sums(weights * right[rows], *places)
                 start, row, first = places
                 for k, p in enumerate(first):
                     end = found.rows[row[p] + 1]
                     words = slice(start[p], min(start[p] + 2 * BLOCK, end))
-                    np.add.at(total, buckets[words], weights[words] * scores[k])
+                    np.add.at(total, rows[words], weights[words] * scores[k])
         used = np.flatnonzero(np.abs(total).sum(axis=1))
         yield pa.RecordBatch.from_arrays(
             [pa.array(used), pa.array(list(total[used]), pa.list_(pa.float64()))], names=["k", "v"]
@@ -153,31 +150,41 @@ def _products(idf: np.ndarray, right: np.ndarray):
     return run
 
 
-def _times(passages: DataFrame, idf: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """A'A times a thin matrix: summed over tasks, at most a fixed number of rows."""
-    parts = passages.mapInArrow(_products(idf, right), "k long, v array<double>")
+def _times(passages: DataFrame, idf: np.ndarray, index: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """A'A times a thin matrix: summed over tasks, one row per bucket of the benchmark at most."""
+    held = passages.sparkSession.sparkContext.broadcast((idf, index, right))
+    parts = passages.mapInArrow(_products(held), "k long, v array<double>")
     width = right.shape[1]
     sums = parts.groupBy("k").agg(*[F.sum(F.get("v", F.lit(j))).alias(f"v{j}") for j in range(width)])
-    out = np.zeros((DIMENSIONS, width))
-    for r in sums.collect():
-        out[r[0]] = r[1:]
+    found = sums.toArrow()
+    held.destroy()
+    out = np.zeros(right.shape)
+    rows = found.column("k").to_numpy()
+    for j in range(width):
+        out[rows, j] = found.column(f"v{j}").to_numpy()
     return out
 
 
 def latent_space(items: DataFrame, idf: np.ndarray) -> Space:
-    """Randomised SVD of the items' TF-IDF passages: right singular directions, weighted by idf."""
-    random = np.random.default_rng(SEED).normal(size=(DIMENSIONS, RANK + EXTRA))
+    """Randomised SVD of the items' TF-IDF passages: right singular directions, weighted by idf.
+
+    All matrices have a row for each bucket that the benchmark has, not for all buckets.
+    """
     passages = items.select("text")
-    basis = random
+    seen = passages.mapInArrow(_frequencies, "bucket long, n long").filter("bucket >= 0")
+    used = np.sort(seen.select("bucket").distinct().toArrow().column("bucket").to_numpy())
+    index = np.full(DIMENSIONS, len(used), dtype=np.int32)
+    index[used] = np.arange(len(used))
+    basis = np.random.default_rng(SEED).normal(size=(len(used), RANK + EXTRA))
     for _ in range(POWERS):
-        basis, _ = np.linalg.qr(_times(passages, idf, basis))
-    small = basis.T @ _times(passages, idf, basis)
+        basis, _ = np.linalg.qr(_times(passages, idf, index, basis))
+    small = basis.T @ _times(passages, idf, index, basis)
     values, turned = np.linalg.eigh((small + small.T) / 2)
     top = np.argsort(-values)[:RANK]
     top = top[values[top] > 1e-9 * max(values.max(), 1e-30)]
-    directions = (basis @ turned[:, top]) * idf[:, None]
-    known = np.abs(directions).sum(axis=1) > 1e-9
-    return Space(idf.astype(np.float32), directions.astype(np.float32), known)
+    directions = (basis @ turned[:, top]) * idf[used][:, None]
+    none = np.zeros((1, directions.shape[1]))
+    return Space(idf.astype(np.float32), index, np.concatenate([directions, none]).astype(np.float32))
 
 
 def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
@@ -217,48 +224,73 @@ def _items(rows: list, idf: np.ndarray) -> tuple[list[Item], pa.Array]:
     return items, texts
 
 
-def _best_places(
+def _places(
     scores: np.ndarray, row: np.ndarray, start: np.ndarray, owners: np.ndarray
 ) -> Iterator[tuple[int, int, float, int]]:
-    """(row, item, cosine, first word) of the best passage of each candidate row and item."""
+    """(row, item, cosine, first word) of all candidate places, the best of a row and item first."""
     p, q = np.nonzero(scores >= COSINE)
     order = np.lexsort((start[p], -scores[p, q], owners[q], row[p]))
     p, q = p[order], q[order]
-    fresh = np.ones(len(p), dtype=bool)
-    fresh[1:] = (np.diff(row[p]) != 0) | (np.diff(owners[q]) != 0)
-    p, q = p[fresh], q[fresh]
     yield from zip(
         row[p].tolist(), owners[q].tolist(), scores[p, q].tolist(), start[p].tolist(), strict=True
     )
 
 
-def _search(items: list[Item], queries: np.ndarray, owners: np.ndarray, space: Space):
+def _verified(places, items: list[Item], found, hashes: np.ndarray) -> list[tuple]:
+    """The first place of each row and item that holds the item, as result columns.
+
+    A place is passed over as soon as it has fewer of the item's words, or of its answer's, than
+    a leak needs; only then are the words compared in order.
+    """
+    rows: list[tuple] = []
+    done = None
+    for k, i, score, at in places:
+        if (k, i) == done:
+            continue
+        item = items[i]
+        reach = len(item.words) + BLOCK
+        low = max(found.rows[k], at - reach)
+        high = min(found.rows[k + 1], at + 2 * BLOCK + reach)
+        around = hashes[low:high]
+        own = around[np.isin(around, item.words)]
+        if len(own) < item.needs():
+            continue
+        share = len(item.answer.intersection(own.tolist())) / len(item.answer)
+        if share < ANSWER_SHARE:
+            continue
+        lcs = common_subsequence(item.words, own)
+        if lcs >= item.needs():
+            rows.append((k, item.item_id, score, lcs, len(item.words), share))
+            done = (k, i)
+    return rows
+
+
+#: Passages that are compared with the benchmark at a time: bounds the matrix of scores.
+SLICE = 1024
+
+
+def _search(held: Broadcast):
     """(doc_id, item_id, cosine, lcs, item_words, answer_share) of the leaks in each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items, queries, owners, space = held.value
         for batch in batches:
             for part in chunks(batch, "text"):
                 found, hashes = _word_hashes(part.column("text"))
                 rows = []
                 if len(hashes):
+                    buckets = _buckets(hashes)
                     places = _passages(found, part.num_rows)
                     start, row, first = places
-                    near = np.flatnonzero(space.norm_shares(hashes, places) >= NORM_SHARE)
-                    if len(near):
-                        picked = first[near]
-                        scores = _vectors_of(space, hashes, found, start[picked], row[picked]) @ queries.T
-                        for k, i, score, at in _best_places(scores, row[picked], start[picked], owners):
-                            item = items[i]
-                            reach = len(item.words) + BLOCK
-                            low, high = max(found.rows[k], at - reach), min(found.rows[k + 1], at + 2 * BLOCK + reach)
-                            around = hashes[low:high]
-                            # The answer's few words are looked up before the longer comparison.
-                            share = len(item.answer.intersection(around.tolist())) / len(item.answer)
-                            if share < ANSWER_SHARE:
-                                continue
-                            lcs = common_subsequence(item.words, around)
-                            if lcs >= item.needs():
-                                rows.append((k, item.item_id, score, lcs, len(item.words), share))
+                    near = first[space.norm_shares(buckets, places) >= NORM_SHARE]
+                    parts: list[tuple] = []
+                    for at in range(0, len(near), SLICE):
+                        some = near[at : at + SLICE]
+                        vectors = _vectors_of(space, buckets, found, start[some], row[some])
+                        parts += _places(vectors @ queries.T, row[some], start[some], owners)
+                    # Slices cut rows anywhere: put the places of a row and item side by side again.
+                    parts.sort(key=lambda x: (x[0], x[1], -x[2], x[3]))
+                    rows = _verified(parts, items, found, hashes)
                 columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
                 kinds = [pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.float64()]
                 yield pa.RecordBatch.from_arrays(
@@ -272,13 +304,13 @@ def _search(items: list[Item], queries: np.ndarray, owners: np.ndarray, space: S
     return run
 
 
-def _vectors_of(space: Space, hashes: np.ndarray, found, start: np.ndarray, row: np.ndarray) -> np.ndarray:
+def _vectors_of(space: Space, buckets: np.ndarray, found, start: np.ndarray, row: np.ndarray) -> np.ndarray:
     """Latent vectors of some passages."""
     ends = np.minimum(start + 2 * BLOCK, found.rows[row + 1])
     sizes = ends - start
     before = np.concatenate([[0], np.cumsum(sizes)])
     index = np.arange(before[-1]) - np.repeat(before[:-1] - start, sizes)
-    sums = np.add.reduceat(space.basis[_buckets(hashes[index])], before[:-1], axis=0)
+    sums = np.add.reduceat(space.basis[space.index[buckets[index]]], before[:-1], axis=0)
     return sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
 
 
@@ -300,7 +332,7 @@ def find_leaks(
     space = latent_space(asked, idf)
     passes = -(-count // ITEMS_PER_PASS)
     dealt = settle(asked.withColumn("pass", F.pmod(F.xxhash64("item_id", "text"), F.lit(passes))), "items")
-    found = None
+    held, found = [], None
     for k in range(passes):
         rows = dealt.filter(F.col("pass") == k).collect()  # about ITEMS_PER_PASS items
         if not rows:
@@ -308,15 +340,19 @@ def find_leaks(
         items, texts = _items(rows, idf)
         words, hashes = _word_hashes(texts)
         start, row, first = _passages(words, len(items))
-        queries = _vectors_of(space, hashes, words, start[first], row[first])
-        leaks = source.mapInArrow(_search(items, queries, row[first], space), schema)
+        queries = _vectors_of(space, _buckets(hashes), words, start[first], row[first])
+        held.append(spark.sparkContext.broadcast((items, queries, row[first], space)))
+        leaks = source.mapInArrow(_search(held[-1]), schema)
         found = leaks if found is None else found.unionAll(leaks)
-    if passes == 1:
-        return found
     best = F.max(F.struct("lcs", "cosine", "item_words", "answer_share")).alias("b")
-    return found.groupBy("doc_id", "item_id").agg(best).select(
+    merged = found.groupBy("doc_id", "item_id").agg(best).select(
         "doc_id", "item_id", "b.cosine", "b.lcs", "b.item_words", "b.answer_share"
     )
+    # Written, so that the benchmark does not stay on the executors.
+    written = settle(merged, "leaks")
+    for part in held:
+        part.destroy()
+    return written
 
 
 @query("op3_latent_leaks")
