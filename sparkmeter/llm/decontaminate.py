@@ -23,6 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -236,32 +237,43 @@ def _places(
     )
 
 
-def _verified(places, items: list[Item], found, hashes: np.ndarray) -> list[tuple]:
+def _verified(places: list[tuple], items: list[Item], found, hashes: np.ndarray) -> list[tuple]:
     """The first place of each row and item that holds the item, as result columns.
 
-    A place is passed over as soon as it has fewer of the item's words, or of its answer's, than
-    a leak needs; only then are the words compared in order.
+    Running counts of the item's words in the row pass over all places with too few of them at
+    once. Then the words of the answer are counted, and only then words are compared in order; equal
+    words near several places are compared once.
     """
     rows: list[tuple] = []
-    done = None
-    for k, i, score, at in places:
-        if (k, i) == done:
-            continue
-        item = items[i]
+    if not places:
+        return rows
+    vocabulary = np.unique(np.concatenate([x.words for x in items]))
+    ids = np.searchsorted(vocabulary, hashes)
+    ids[ids == len(vocabulary)] = 0
+    ids[vocabulary[ids] != hashes] = len(vocabulary)
+    for (k, i), group in groupby(places, key=lambda x: (x[0], x[1])):
+        item, own_places = items[i], list(group)
+        first, last = found.rows[k], found.rows[k + 1]
+        member = np.zeros(len(vocabulary) + 1, dtype=bool)
+        member[np.searchsorted(vocabulary, item.words)] = True
+        hit = member[ids[first:last]]
+        until = np.concatenate([[0], np.cumsum(hit)])
+        at = np.array([x[3] for x in own_places]) - first
         reach = len(item.words) + BLOCK
-        low = max(found.rows[k], at - reach)
-        high = min(found.rows[k + 1], at + 2 * BLOCK + reach)
-        around = hashes[low:high]
-        own = around[np.isin(around, item.words)]
-        if len(own) < item.needs():
-            continue
-        share = len(item.answer.intersection(own.tolist())) / len(item.answer)
-        if share < ANSWER_SHARE:
-            continue
-        lcs = common_subsequence(item.words, own)
-        if lcs >= item.needs():
-            rows.append((k, item.item_id, score, lcs, len(item.words), share))
-            done = (k, i)
+        low = np.maximum(0, at - reach)
+        high = np.minimum(last - first, at + 2 * BLOCK + reach)
+        seen = set()
+        for n in np.flatnonzero(until[high] - until[low] >= item.needs()):
+            own = hashes[first + low[n] : first + high[n]][hit[low[n] : high[n]]]
+            share = len(item.answer.intersection(own.tolist())) / len(item.answer)
+            if share < ANSWER_SHARE or own.tobytes() in seen:
+                continue
+            seen.add(own.tobytes())
+            lcs = common_subsequence(item.words, own)
+            if lcs >= item.needs():
+                score = own_places[n][2]
+                rows.append((k, item.item_id, score, lcs, len(item.words), share))
+                break
     return rows
 
 
