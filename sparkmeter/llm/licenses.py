@@ -12,10 +12,14 @@ Null texts and empty units match nothing. Repeated rows are counted; extra colum
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkmeter.llm.expressions import table
+from sparkmeter.llm.expressions import let, table
 from sparkmeter.llm.registry import query
 
 # Texts of well-known licences, without their copyright lines.
@@ -77,13 +81,34 @@ _COPYRIGHT = r"(?m)^[^\p{L}\p{N}\n©]*(copyright\s*(©|\(c\)|[0-9]{4}|by\b)|©|\
 _SIGNS = r"[^\p{L}\p{N}]+"
 
 
+#: A copyright line has one of these, and a text that a spelling changes one of the others.
+_COPYRIGHT_SIGNS = ("copyright", "©", "(c)")
+_SPELT = tuple(pattern.replace(r"\b", "") for pattern, _ in SPELLINGS)
+
+
+def _where(text: Column, literals: tuple[str, ...], change: Callable[[Column], Column]) -> Column:
+    """``change`` of a text that holds one of some literals; other texts as they are."""
+    found = [F.contains(text, F.lit(x)) for x in literals]
+    return F.when(reduce(or_, found), change(text)).otherwise(text)
+
+
+def _spelt(text: Column) -> Column:
+    for pattern, replacement in SPELLINGS:
+        text = F.regexp_replace(text, pattern, replacement)
+    return text
+
+
 def canonical(text: Column) -> Column:
-    """The canonical form of a text; null stays null."""
-    found = F.regexp_replace(F.lower(text), _COPYRIGHT, " ")
+    """The canonical form of a text; null stays null.
+
+    Patterns run only on texts with a literal that every match of them has.
+    """
+    found = let(
+        F.lower(text),
+        lambda x: _where(x, _COPYRIGHT_SIGNS, lambda t: F.regexp_replace(t, _COPYRIGHT, " ")),
+    )
     found = F.trim(F.regexp_replace(found, _SIGNS, " "))
-    for pattern, replacement in SPELLINGS:
-        found = F.regexp_replace(found, pattern, replacement)
-    return found
+    return let(found, lambda x: _where(x, _SPELT, _spelt))
 
 
 def known_digests(spark: SparkSession) -> DataFrame:
