@@ -46,7 +46,7 @@ _BOILERPLATE_NAMES = re.compile(
 _ROLES = re.compile(r"navigation|banner|contentinfo|complementary|search|alert|dialog|form")
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>" + "|".join(RAW) + r")\b[^>]*+>.*?(?:</(?P=raw)\s*+>|\Z)"
+    r"|<(?P<raw>" + "|".join(RAW) + r")\b[^>]*+(?:>.*?(?:</(?P=raw)\s*+>|\Z)|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*+)(?P<rest>(?:[^\"'<>]|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<[!?][^>]*+(?:>|\Z)"
     r"|<(?=[/a-z])[^<>]*+\Z"
@@ -258,20 +258,20 @@ def main_text(page: str | None) -> str:
 
 def extract(pages: DataFrame, page: str = "html", text: str = "text") -> DataFrame:
     """Replace the column ``page`` by the main text; other columns stay."""
-    kept = [f for f in pages.schema.fields if f.name not in (page, text)]
-    source = pages.select(*[f.name for f in kept], F.col(page).alias("_page"))
-    schema = source.drop("_page").withColumn(text, F.lit("")).schema
+    kept = [c for c in pages.columns if c not in (page, text)]
+    source = pages.select((F.struct(*kept) if kept else F.struct(F.lit(0))).alias("row"), F.col(page).alias("page"))
+    schema = source.withColumn("page", F.lit("")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, "_page"):
-                texts = [main_text(p) for p in part.column("_page").to_pylist()]
-                columns = [part.column(f.name) for f in kept]
+            for part in chunks(batch, "page"):
+                texts = [main_text(p) for p in part.column("page").to_pylist()]
                 yield pa.RecordBatch.from_arrays(
-                    [*columns, pa.array(texts, pa.string())], names=[*[f.name for f in kept], text]
+                    [part.column("row"), pa.array(texts, pa.string())], names=["row", "page"]
                 )
 
-    return source.mapInArrow(run, schema)
+    found = source.mapInArrow(run, schema)
+    return found.select(*[F.col("row")[c].alias(c) for c in kept], F.col("page").alias(text))
 
 
 @query("op8_block_tree_html")

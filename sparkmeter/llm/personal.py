@@ -393,6 +393,7 @@ def describe(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str =
         *[count(k).alias(f"n_{k}") for k in BASE],
         F.sha2(_written(F.col("base")), 256).alias("base_sha256"),
         _written(F.col("found")).alias("spans"),
+        F.size("found").cast("bigint").alias("n_spans"),
         (F.size("found") - F.size("base")).cast("bigint").alias("n_added"),
     )
 
