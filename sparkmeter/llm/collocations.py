@@ -55,13 +55,12 @@ FIRST = 2000
 UNIT = 1_000_000
 #: Bytes of text per hash partition, entries in a task's buffer, entries in a block.
 PARTITION_BYTES = 8 << 20
-BUFFER = 4 << 20
+BUFFER = 2 << 20
 BLOCK = 1 << 18
 #: Bits of the survivors' bitmap, a power of two.
 BITS = 1 << 26
 #: Parts of a language whose first phrases are found apart.
 PARTS = 64
-_HASH_BYTES, _COUNT_BYTES = 6, 4
 
 _BREAK = np.zeros(256, dtype=bool)
 _BREAK[list(b".,;:!?\n\x0b\x0c\r")] = True
@@ -141,21 +140,25 @@ def _keys(words: np.ndarray, first: np.ndarray, n: int, salt: np.ndarray) -> np.
     return mix(ngram_hashes(words, n)[first] ^ salt, n)
 
 
-def short_keys(keys: np.ndarray) -> np.ndarray:
+def hash_bits(size: int) -> int:
+    """Bits of a hash in the summaries of some bytes of text: at most one n-gram in a hundred shares its hash."""
+    return min(64, size.bit_length() + 8)
+
+
+def short_keys(keys: np.ndarray, width: int) -> np.ndarray:
     """The part of a hash that the summaries use."""
-    return keys >> np.uint64(64 - 8 * _HASH_BYTES)
+    return keys >> np.uint64(64 - width)
 
 
-def _planes(values: np.ndarray, size: int) -> bytes:
-    """Numbers as bytes of equal weight side by side, which compress well when sorted."""
-    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].T.tobytes()
+def _packed(values: np.ndarray) -> bytes:
+    """Numbers as compressed bytes, those of equal weight side by side."""
+    planes = values.astype("<u8").view(np.uint8).reshape(-1, 8).T
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
 
-def _numbers(planes: bytes, size: int) -> np.ndarray:
-    parts = np.frombuffer(planes, dtype=np.uint8).reshape(size, -1)
-    wide = np.zeros((parts.shape[1], 8), dtype=np.uint8)
-    wide[:, :size] = parts.T
-    return wide.view("<u8").ravel()
+def _numbers(packed: bytes, count: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(packed, 8 * count, codec="zstd", asbytes=True), dtype=np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, count).T).view("<u8").ravel()
 
 
 def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -168,24 +171,28 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[first], np.add.reduceat(counts, first)
 
 
-BLOCKS = "part long, kind int, mass long, keys binary, counts binary"
+#: ``size`` is the number of occurrences in the first row of a partition, else of the block's hashes.
+BLOCKS = "part long, kind int, size long, keys binary, counts binary"
 
 
-def count_blocks(partitions: int, most: int, buffer: int = BUFFER) -> Callable:
-    """Per buffer and hash partition: a row with its occurrences, then blocks of counted hashes."""
+def count_blocks(partitions: int, most: int, width: int, buffer: int = BUFFER) -> Callable:
+    """Per buffer and hash partition: a row with its occurrences, then blocks of counted hashes.
+
+    A partition is a range of hashes, so the steps between its hashes are short.
+    """
+    reach = -(-(1 << width) // partitions)
 
     def rows_of(keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        part = (keys % np.uint64(partitions)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        part, keys, counts = part[order], keys[order], counts[order]
+        part = keys // np.uint64(reach)
         cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
         rows, held = [], 0
         for begin, end in zip(cuts[:-1], cuts[1:], strict=True):
-            rows.append((int(part[begin]), 0, int(counts[begin:end].sum()), None, None))
+            total = int(counts[begin:end].sum(dtype=np.int64))
+            rows.append((int(part[begin]), 0, total, None, None))
             for at in range(begin, end, BLOCK):
                 to = min(end, at + BLOCK)
-                block = _planes(keys[at:to], _HASH_BYTES), _planes(counts[at:to], _COUNT_BYTES)
-                rows.append((int(part[begin]), 1, 0, *block))
+                steps = np.diff(keys[at:to], prepend=np.uint64(0))
+                rows.append((int(part[begin]), 1, to - at, _packed(steps), _packed(counts[at:to])))
                 held += to - at
             if held >= 4 * BLOCK:
                 yield _batch(rows, BLOCKS)
@@ -203,7 +210,7 @@ def count_blocks(partitions: int, most: int, buffer: int = BUFFER) -> Callable:
                 codes, salts = _language_hashes(chunk.column("lang"))
                 salt = salts[codes[found.rows]]
                 grams = [
-                    short_keys(_keys(found.hashes, first, n, salt[first]))
+                    short_keys(_keys(found.hashes, first, n, salt[first]), width)
                     for n in range(1, most + 1)
                     if len(first := found.grams(n))
                 ]
@@ -211,7 +218,7 @@ def count_blocks(partitions: int, most: int, buffer: int = BUFFER) -> Callable:
                     continue
                 own, times = np.unique(np.concatenate(grams), return_counts=True)
                 keys.append(own)
-                counts.append(times)
+                counts.append(times.astype(np.uint32))
                 held += len(own)
                 if held >= buffer:
                     merged = _summed(np.concatenate(keys), np.concatenate(counts))
@@ -298,29 +305,31 @@ def merge_blocks(threshold: int, bits: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, summary = None, Summary(threshold)
         for batch in batches:
-            columns = [batch.column(c) for c in ("part", "kind", "mass", "keys", "counts")]
+            columns = [batch.column(c) for c in ("part", "kind", "size", "keys", "counts")]
             for row in range(batch.num_rows):
-                own, kind, mass, keys, counts = (c[row] for c in columns)
+                own, kind, size, keys, counts = (c[row] for c in columns)
                 if own.as_py() != part:
                     yield from marks(summary)
                     part, summary = own.as_py(), Summary(threshold)
                 if kind.as_py() == 0:
-                    summary.mass += mass.as_py()
+                    summary.mass += size.as_py()
                 else:
-                    summary.add(
-                        _numbers(keys.as_py(), _HASH_BYTES),
-                        _numbers(counts.as_py(), _COUNT_BYTES).astype(np.int64),
-                    )
+                    steps = _numbers(keys.as_py(), size.as_py())
+                    times = _numbers(counts.as_py(), size.as_py()).astype(np.int64)
+                    summary.add(np.cumsum(steps, dtype=np.uint64), times)
         yield from marks(summary)
 
     return run
 
 
-def frequent_marks(texts: DataFrame, threshold: int, most: int, bits: int = BITS) -> np.ndarray:
-    """Bitmap with the bits of all n-grams that may reach the threshold."""
-    size = texts.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+def text_bytes(texts: DataFrame) -> int:
+    return texts.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+
+
+def frequent_marks(texts: DataFrame, size: int, threshold: int, most: int, bits: int) -> np.ndarray:
+    """Bitmap with the bits of all n-grams that may reach the threshold, in ``size`` bytes of text."""
     partitions = 1 + size // PARTITION_BYTES
-    blocks = texts.mapInArrow(count_blocks(partitions, most), BLOCKS)
+    blocks = texts.mapInArrow(count_blocks(partitions, most, hash_bits(size)), BLOCKS)
     ordered = blocks.repartition("part").sortWithinPartitions("part", "kind")
     words = ordered.mapInArrow(merge_blocks(threshold, bits), MARKS)
     found = words.groupBy("word").agg(F.bit_or("marks").alias("marks")).toArrow()
@@ -332,7 +341,7 @@ def frequent_marks(texts: DataFrame, threshold: int, most: int, bits: int = BITS
 COUNTS = "lang string, size int, phrase string, n long"
 
 
-def count_marked(held: Broadcast, most: int) -> Callable:
+def count_marked(held: Broadcast, most: int, width: int) -> Callable:
     """Counts of the phrases that meet a marked bit, and all words of a language as size 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -352,7 +361,7 @@ def count_marked(held: Broadcast, most: int) -> Callable:
                 for n in range(1, most + 1):
                     first = found.grams(n)
                     keys = _keys(found.hashes, first, n, salts[own[first]])
-                    place = short_keys(keys) % bits
+                    place = short_keys(keys, width) % bits
                     hit = (marked[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1)
                     first, keys = first[hit == 1], keys[hit == 1]
                     if not len(first):
@@ -389,6 +398,7 @@ def frequent_phrases(
     most: int = MOST_WORDS,
     text: str = "text",
     lang: str = "lang",
+    bits: int = BITS,
 ) -> DataFrame:
     """(lang, size, phrase, n) of all phrases of up to ``most`` words with ``threshold`` occurrences.
 
@@ -398,9 +408,10 @@ def frequent_phrases(
         F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"),
         F.coalesce(F.col(text), F.lit("")).alias("text"),
     )
-    marked = frequent_marks(texts, threshold, most)
+    size = text_bytes(texts)
+    marked = frequent_marks(texts, size, threshold, most, bits)
     held = docs.sparkSession.sparkContext.broadcast(marked)
-    counts = texts.mapInArrow(count_marked(held, most), COUNTS)
+    counts = texts.mapInArrow(count_marked(held, most, hash_bits(size)), COUNTS)
     summed = counts.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"))
     kept = settle(summed.filter((F.col("size") == 0) | (F.col("n") >= threshold)), "phrases")
     held.destroy()
@@ -459,9 +470,10 @@ def collocations(
     first: int = FIRST,
     text: str = "text",
     lang: str = "lang",
+    bits: int = BITS,
 ) -> DataFrame:
     """The first phrases of each language by score: lang, rank, phrase, a, l, r, n, score."""
-    counts = frequent_phrases(docs, threshold, most, text, lang)
+    counts = frequent_phrases(docs, threshold, most, text, lang, bits)
     around = covered_phrases(counts)
     kept = best_cuts(counts).join(around, ["lang", "phrase"], "left").filter(
         F.coalesce(F.col("longer") * 100 < F.col("a") * covered, F.lit(True))
