@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkmeter.functions.text import UNICODE, count_matches, required_literal
-from sparkmeter.operators.skew import spread_join
 
 # Topics as (key, name, first question) and their patterns on lower-case text.
 TOPICS = [
@@ -188,9 +187,8 @@ def missing_imports(docs: DataFrame, known: DataFrame, root: str, home: str) ->
     ).otherwise(F.array(_below(folder, target), _below(F.lit(root), target)))
     imports = extract_imports(docs).withColumn("candidate", F.explode(candidates))
     paths = known.select(plain_path(F.col("path")).alias("candidate")).distinct()
-    tested = spread_join(
-        imports, paths.withColumn("known", F.lit(True)), ["candidate"], ["path"], "left"
-    )
+    # A candidate that many documents share is split by adaptive execution.
+    tested = imports.join(paths.withColumn("known", F.lit(True)), "candidate", "left")
     return (
         tested.groupBy("path", "position", "import")
         .agg(F.bool_or(F.coalesce("known", F.lit(False))).alias("known"))

@@ -299,9 +299,9 @@ def transcript_tree(spark: SparkSession, facts: DataFrame) -> str:
     return path
 
 
-# A store with facts of d0 and d1 whose logs now hold sessions of d1 with other counters.
+# A store with all facts whose logs now hold sessions of d1 with other counters.
 _REBUILD = {
-    "stored": "SELECT * FROM deduped WHERE device_id IN ('d0', 'd1') QUALIFY row_number() OVER"
+    "stored": "SELECT * FROM deduped QUALIFY row_number() OVER"
     " (PARTITION BY message_uuid, CASE WHEN message_type = 'user' THEN session_id END"
     " ORDER BY ts DESC, id) = 1",
     "logs": "SELECT * REPLACE (input_tokens + 1 AS input_tokens, total_tokens + 1 AS total_tokens)"
@@ -313,7 +313,7 @@ _REBUILD = {
 
 
 def _rebuilt(spark: SparkSession, sf: str) -> Store:
-    facts = dedupe_responses(usage(spark, sf), ["id"]).filter("device_id IN ('d0', 'd1')")
+    facts = dedupe_responses(usage(spark, sf), ["id"])
     store = _store(spark)
     save_full(store, facts, now(), ["id"])
     logs = facts.filter(

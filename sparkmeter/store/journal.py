@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import SparkSession
@@ -129,6 +130,7 @@ class Journal:
     def __init__(self, files: Files, buckets: int) -> None:
         self.files = files
         self.buckets = buckets
+        self.token = ""
 
     def _numbers(self) -> list[int]:
         names = [n.rsplit("/", 1)[-1] for n in self.files.names(f"{_FOLDER}/*.json")]
@@ -142,21 +144,32 @@ class Journal:
         return numbers[-1], Pointer.of(self.files.read(f"{_FOLDER}/{numbers[-1]:012}.json"))
 
     def begin(self) -> tuple[int, Pointer, bool]:
-        """The last commit, and whether a writer after it ended without one."""
+        """The last commit, and whether a writer after it has not ended.
+
+        That writer is taken for lost. Should it still be there, it finds that it does not own
+        the store any more and gives up without a commit.
+        """
         number, pointer = self.latest()
         broken = self.files.exists(f"{_FOLDER}/{_OPEN}")
-        self.files.write(f"{_FOLDER}/{_OPEN}", str(number + 1))
+        self.token = uuid.uuid4().hex
+        self.files.write(f"{_FOLDER}/{_OPEN}", self.token)
         return number, pointer, broken
 
+    def is_owner(self) -> bool:
+        """Whether no other writer began since."""
+        name = f"{_FOLDER}/{_OPEN}"
+        return self.files.exists(name) and self.files.read(name) == self.token
+
     def commit(self, number: int, pointer: Pointer) -> None:
         """Make a state the current one: a single rename that fails if another writer was first."""
-        draft, name = f"{_FOLDER}/draft-{number:012}", f"{_FOLDER}/{number:012}.json"
+        draft, name = f"{_FOLDER}/draft-{self.token}", f"{_FOLDER}/{number:012}.json"
         self.files.write(draft, pointer.text())
-        if not self.files.rename(draft, name):
-            raise RuntimeError(f"another writer made commit {number} of {self.files.root}")
-        self.end()
+        if not self.is_owner() or not self.files.rename(draft, name):
+            self.files.delete(draft)
+            raise RuntimeError(f"another writer changed {self.files.root}")
         for old in self._numbers()[:-KEPT]:
             self.files.delete(f"{_FOLDER}/{old:012}.json")
 
     def end(self) -> None:
-        self.files.delete(f"{_FOLDER}/{_OPEN}")
+        if self.is_owner():
+            self.files.delete(f"{_FOLDER}/{_OPEN}")

@@ -145,7 +145,8 @@ class Store:
                 self._journal.commit(number + 1, self._open)
         except BaseException:
             kept = Pointer.of(before)
-            self._remove_after(kept.last)
+            if self._journal.is_owner():
+                self._remove_after(kept.last)
             self._open = kept
             raise
         finally:
