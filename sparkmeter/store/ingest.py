@@ -74,16 +74,16 @@ def save_full(
         catch_up(store)
         first = last_number(store)
         gated = _gated(staging, tiebreak)
-        held = settle(held_rows(store, gated), "held")
-        changes = settle(upgrades(held, gated), "upgrades")
-        added = settle(with_places(new_rows(gated, held).drop("id")), "added")
-        count = _append(store, added, first)
-        days = day_list(changes)
+        changes, placed = _against_held(gated, held_rows(store, gated))
+        count = _append(store, placed, first)
+        days = [] if changes is None else day_list(changes)
         if days:
             rows = on_values(store.read("usage"), "date", days)
             rewritten = apply_upgrades(rows, changes, F.lit(first + 1))
             store.replace_partitions("usage", rewritten, covered=["keys"])
-        touched = changes.select("date").union(gated.select("date")).distinct()
+        touched = gated.select("date").distinct()
+        if changes is not None:
+            touched = touched.union(changes.select("date")).distinct()
         facts = on_values(store.read("usage"), "date", day_list(touched))
         store.replace("daily", refresh_daily(facts, store.read("daily"), touched, now))
     return count
@@ -94,6 +94,15 @@ def _gated(staging: DataFrame, tiebreak: list[str] | None) -> DataFrame:
     return settle(conform(batch_gate(staging, tiebreak or POSITION), USAGE), "gated")
 
 
+def _against_held(gated: DataFrame, held: DataFrame) -> tuple[DataFrame | None, DataFrame]:
+    """Upgrades of stored facts (none when no id is stored) and the new rows, both written aside."""
+    stored = settle(held, "held")
+    if stored.isEmpty():
+        return None, settle(with_places(gated.drop("id")), "added")
+    changes = settle(upgrades(stored, gated), "upgrades")
+    return changes, settle(with_places(new_rows(gated, stored).drop("id")), "added")
+
+
 def _numbered(placed: DataFrame, first: int) -> DataFrame:
     """New facts with ids first + 1, first + 2, …, by their places in a written copy."""
     rows = number_places(placed, placed, F.lit(first), "id")
