@@ -17,11 +17,12 @@ def spread_join(
     """Join ``rows`` with a ``lookup`` that is unique on ``keys``, when one key may hold most rows.
 
     Rows of one key are split by the hash of ``spread``; the lookup is repeated once per split.
-    A small lookup is still broadcast by the planner, and then nothing is shuffled at all.
+    It is never broadcast: the planner's size check sees the lookup before it is repeated, and the
+    copies of one that passes can still be more than the driver holds.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"not a join that keeps rows of the left side once: {how}")
     split = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)))
     every_salt = F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))
     copies = lookup.withColumn("_salt", F.explode(every_salt))
-    return split.join(copies, [*keys, "_salt"], how).drop("_salt")
+    return split.join(copies.hint("merge"), [*keys, "_salt"], how).drop("_salt")

@@ -28,10 +28,13 @@ from sparkmeter.operators.documents import TOPIC_PATTERNS, document_kind, plain_
 from sparkmeter.operators.facts import new_rows
 from sparkmeter.operators.filters import date_range_filter
 from sparkmeter.operators.ranking import global_row_number
+from sparkmeter.operators.sessions import distinct_sessions, session_bits
 from sparkmeter.operators.skew import spread_join
 from sparkmeter.operators.upsert import assign_ids
 from sparkmeter.plans.inputs import table, usage
+from sparkmeter.schemas import USAGE, conform
 from sparkmeter.session import scratch_path
+from sparkmeter.store.index import refresh_sessions
 from sparkmeter.store.tables import Store
 
 
@@ -57,6 +60,26 @@ def test_spread_join_equals_join(spark, how):
     assert sorted(map(str, spread.collect())) == sorted(map(str, plain.collect()))
 
 
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_spread_join_never_broadcasts_its_copies(spark, how):
+    # A stored lookup is far smaller as a file than its copies are in memory.
+    path = scratch_path(spark, "lookup")
+    hot(spark).select("key").distinct().write.parquet(path)
+    plan = plan_of(spread_join(hot(spark), spark.read.parquet(path), ["key"], ["id"], how))
+    assert "Broadcast" not in plan
+    assert "SortMergeJoin" in plan
+
+
+def test_session_bitmaps_broadcast_no_sessions(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    day = F.lit("2024-01-01").alias("date")
+    store.append("usage", conform(hot(spark).select(F.col("key").alias("session_id"), day), USAGE))
+    refresh_sessions(store)
+    plan = plan_of(session_bits(store.read("usage"), store.read("sessions")))
+    assert "Broadcast" not in plan
+    assert distinct_sessions(store.read("session_bits")).collect()[0]["sessions"] == 98
+
+
 def test_spread_join_refuses_other_joins(spark):
     with pytest.raises(ValueError):
         spread_join(hot(spark), hot(spark), ["key"], ["id"], "full_outer")
