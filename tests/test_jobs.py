@@ -421,6 +421,44 @@ def test_replays_pass_only_when_they_are_larger(spark, sf):
     assert sorted(r.total_tokens for r in passed.collect()) == [10, 30]
 
 
+def test_replays_of_many_keys_share_a_group(spark, sf):
+    # Ids, a prompt's session and no id are kept apart inside the only bucket.
+    base = usage(spark, sf).limit(1)
+    path, target, checkpoint = (scratch_path(spark, n) for n in ("in", "out", "cp"))
+    base.limit(0).write.parquet(path)
+    stream = spark.readStream.schema(base.schema).parquet(path)
+    schema = "message_uuid string, message_type string, session_id string, total_tokens bigint, id bigint"
+    first = [
+        ("a", "assistant", "s", 5, 1), ("a", "assistant", "t", 5, 0), ("b", "assistant", "s", 7, 2),
+        ("a", "user", "s", 0, 3), ("a", "user", "t", 0, 4), (None, "assistant", "s", 1, 5),
+    ]
+    later = [("a", "assistant", "s", 5, 6), ("b", "assistant", "s", 9, 7), ("a", "user", "s", 0, 8)]
+    for given in (first, later):
+        new = spark.createDataFrame(given, schema)
+        others = base.drop(*new.columns)
+        new.join(others).select(base.columns).coalesce(1).write.mode("append").parquet(path)
+        held = run_stream(largest_usage_stream(stream, ["id"], buckets=1), target, checkpoint, "update")
+        assert held == 1
+    assert sorted(r.id for r in spark.read.parquet(target).collect()) == [0, 2, 3, 4, 5, 7]
+
+
+def test_a_key_of_a_bucket_goes_when_it_is_due(spark, sf):
+    base = usage(spark, sf).filter("message_type = 'assistant'").limit(1)
+    path, target, checkpoint = (scratch_path(spark, n) for n in ("in", "out", "cp"))
+    base.limit(0).write.parquet(path)
+    stream = spark.readStream.schema(base.schema).parquet(path)
+    days = 2 / 24 / 3600  # two seconds
+    for ids in (("a",), ("b",), ("a", "b")):
+        new = base.drop("message_uuid").withColumn("message_uuid", F.explode(F.array(*map(F.lit, ids))))
+        new.select(base.columns).coalesce(1).write.mode("append").parquet(path)
+        run_stream(
+            largest_usage_stream(stream, ["id"], days, buckets=1), target, checkpoint, "update"
+        )
+        time.sleep(3 if ids == ("a",) else 0)
+    passed = [r.message_uuid for r in spark.read.parquet(target).collect()]
+    assert sorted(passed)[:2] == ["a", "a"] and "b" in passed
+
+
 def test_rollout_context_goes_on_over_batches(spark):
     import json
 
