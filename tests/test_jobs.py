@@ -459,6 +459,34 @@ def test_a_key_of_a_bucket_goes_when_it_is_due(spark, sf):
     assert sorted(passed)[:2] == ["a", "a"] and "b" in passed
 
 
+def test_rollouts_of_one_group_keep_their_own_context(spark):
+    import json
+
+    def context(model):
+        return json.dumps({"type": "turn_context", "payload": {"model": model, "cwd": "/w"}})
+
+    usage_ = {"input_tokens": 1, "cached_input_tokens": 0, "output_tokens": 1}
+    info = {"type": "token_count", "info": {"last_token_usage": usage_}}
+    turn = json.dumps({"type": "event_msg", "timestamp": "2025-05-01T10:00:00Z", "payload": info})
+    path, target, checkpoint = (scratch_path(spark, n) for n in ("in", "out", "cp"))
+    schema = "file_path string, piece bigint, chunk bigint, pos bigint, value string"
+    spark.createDataFrame([], schema).write.parquet(path)
+    stream = spark.readStream.schema(schema).parquet(path)
+    for k, texts in enumerate(([context("{}"), turn], [turn, turn])):
+        own = [
+            (f"/l/{f}.jsonl", k, 0, 2 * p + n, t.replace("{}", f))
+            for p, t in enumerate(texts)
+            for n, f in enumerate("xy")
+        ]
+        spark.createDataFrame(own, schema).coalesce(1).write.mode("append").parquet(path)
+        held = run_stream(
+            rollout_pieces_stream(stream, now(), buckets=1), target, checkpoint, "append"
+        )
+        assert held == 1
+    got = sorted((r.message_uuid, r.model) for r in spark.read.parquet(target).collect())
+    assert got == [(f"{f}:t{n}", f) for f in "xy" for n in (1, 2, 3)]
+
+
 def test_rollout_context_goes_on_over_batches(spark):
     import json
 
