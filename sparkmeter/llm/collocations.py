@@ -44,7 +44,7 @@ from pyspark.sql.window import Window
 from sparkmeter.llm.expressions import table
 from sparkmeter.llm.registry import query
 from sparkmeter.llm.words import Words, chunks, mix, ngram_hashes
-from sparkmeter.session import settle
+from sparkmeter.session import settle, shuffles_removed
 
 THRESHOLD = 10
 MOST_WORDS = 3
@@ -332,7 +332,8 @@ def frequent_marks(texts: DataFrame, size: int, threshold: int, most: int, bits:
     blocks = texts.mapInArrow(count_blocks(partitions, most, hash_bits(size)), BLOCKS)
     ordered = blocks.repartition("part").sortWithinPartitions("part", "kind")
     words = ordered.mapInArrow(merge_blocks(threshold, bits), MARKS)
-    found = words.groupBy("word").agg(F.bit_or("marks").alias("marks")).toArrow()
+    with shuffles_removed(texts.sparkSession):
+        found = words.groupBy("word").agg(F.bit_or("marks").alias("marks")).toArrow()
     marked = np.zeros(bits // 64, dtype=np.uint64)
     marked[found.column("word").to_numpy()] = found.column("marks").to_numpy().view(np.uint64)
     return marked
