@@ -225,54 +225,103 @@ def _items(rows: list, idf: np.ndarray) -> tuple[list[Item], pa.Array]:
     return items, texts
 
 
-def _places(
-    scores: np.ndarray, row: np.ndarray, start: np.ndarray, owners: np.ndarray
-) -> Iterator[tuple[int, int, float, int]]:
-    """(row, item, cosine, first word) of all candidate places, the best of a row and item first."""
+def _places(scores: np.ndarray, row: np.ndarray, start: np.ndarray, owners: np.ndarray) -> list[np.ndarray]:
+    """Row, item, cosine and first word of all candidate places, as arrays."""
     p, q = np.nonzero(scores >= COSINE)
-    order = np.lexsort((start[p], -scores[p, q], owners[q], row[p]))
-    p, q = p[order], q[order]
-    yield from zip(
-        row[p].tolist(), owners[q].tolist(), scores[p, q].tolist(), start[p].tolist(), strict=True
-    )
-
-
-def _verified(places: list[tuple], items: list[Item], found, hashes: np.ndarray) -> list[tuple]:
+    return [row[p], owners[q], scores[p, q], start[p]]
+
+
+class Wanted:
+    """Words of a pass's items, and the places in texts that have enough of them."""
+
+    def __init__(self, items: list[Item]) -> None:
+        self.items = items
+        self.vocabulary = np.unique(np.concatenate([x.words for x in items]))
+        self.words = [np.searchsorted(self.vocabulary, x.words) for x in items]
+        answers = [np.fromiter(x.answer, dtype=np.uint64, count=len(x.answer)) for x in items]
+        self.answers = [np.searchsorted(self.vocabulary, x) for x in answers]
+        self.member = np.zeros(len(self.vocabulary) + 1, dtype=bool)
+
+    def ids(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of each word in the vocabulary; other words have the number after the last."""
+        found = np.searchsorted(self.vocabulary, hashes)
+        found[found == len(self.vocabulary)] = 0
+        found[self.vocabulary[found] != hashes] = len(self.vocabulary)
+        return found
+
+    def among(self, words: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Which ids are among some words."""
+        self.member[words] = True
+        hit = self.member[ids]
+        self.member[words] = False
+        return hit
+
+    def likely(self, places: list[np.ndarray], found, ids: np.ndarray) -> np.ndarray:
+        """Which places have enough of the item's words, and of its answer's words as often, around them.
+
+        Counted for all rows of an item at once, by running counts. Words of the answer that come
+        again count again, so no place with enough distinct ones is lost.
+        """
+        row, owner, _, start = places
+        out = np.zeros(len(row), dtype=bool)
+        order = np.argsort(owner, kind="stable")
+        for some in np.split(order, np.flatnonzero(np.diff(owner[order])) + 1):
+            if not len(some):
+                continue
+            i = owner[some[0]]
+            rows, back = np.unique(row[some], return_inverse=True)
+            first = found.rows[rows]
+            sizes = found.rows[rows + 1] - first
+            before = np.concatenate([[0], np.cumsum(sizes)])
+            own = ids[np.arange(before[-1]) + np.repeat(first - before[:-1], sizes)]
+            low, high = _around(start[some] - first[back], sizes[back], self.items[i])
+            low, high = before[back] + low, before[back] + high
+            counts = []
+            for words in (self.words[i], self.answers[i]):
+                until = np.zeros(len(own) + 1, dtype=np.int64)
+                np.cumsum(self.among(words, own), out=until[1:])
+                counts.append(until[high] - until[low])
+            enough = counts[1] / len(self.answers[i]) >= ANSWER_SHARE
+            out[some] = enough & (counts[0] >= self.items[i].needs())
+        return out
+
+
+def _around(at: np.ndarray, size: np.ndarray, item: Item) -> tuple[np.ndarray, np.ndarray]:
+    """First and last word around places of rows with some words, in which an item may lie."""
+    reach = len(item.words) + BLOCK
+    return np.maximum(0, at - reach), np.minimum(size, at + 2 * BLOCK + reach)
+
+
+def _verified(places: list[np.ndarray], wanted: Wanted, found, hashes: np.ndarray) -> list[tuple]:
     """The first place of each row and item that holds the item, as result columns.
 
-    Running counts of the item's words in the row pass over all places with too few of them at
-    once. Then the words of the answer are counted, and only then words are compared in order; equal
-    words near several places are compared once.
+    Running counts pass over the places with too few words of the item or its answer. Then the
+    distinct words of the answer are counted, and only then words are compared in order; equal words near
+    several places are compared once. The best place of a row and item is tried first.
     """
     rows: list[tuple] = []
-    if not places:
+    if not len(places[0]):
         return rows
-    vocabulary = np.unique(np.concatenate([x.words for x in items]))
-    ids = np.searchsorted(vocabulary, hashes)
-    ids[ids == len(vocabulary)] = 0
-    ids[vocabulary[ids] != hashes] = len(vocabulary)
-    for (k, i), group in groupby(places, key=lambda x: (x[0], x[1])):
-        item, own_places = items[i], list(group)
+    ids = wanted.ids(hashes)
+    likely = wanted.likely(places, found, ids)
+    row, owner, score, start = (x[likely] for x in places)
+    order = np.lexsort((start, -score, owner, row))
+    tried = zip(*[x[order].tolist() for x in (row, owner, score, start)], strict=True)
+    for (k, i), group in groupby(tried, key=lambda x: (x[0], x[1])):
+        item = wanted.items[i]
         first, last = found.rows[k], found.rows[k + 1]
-        member = np.zeros(len(vocabulary) + 1, dtype=bool)
-        member[np.searchsorted(vocabulary, item.words)] = True
-        hit = member[ids[first:last]]
-        until = np.concatenate([[0], np.cumsum(hit)])
-        at = np.array([x[3] for x in own_places]) - first
-        reach = len(item.words) + BLOCK
-        low = np.maximum(0, at - reach)
-        high = np.minimum(last - first, at + 2 * BLOCK + reach)
         seen = set()
-        for n in np.flatnonzero(until[high] - until[low] >= item.needs()):
-            own = hashes[first + low[n] : first + high[n]][hit[low[n] : high[n]]]
+        for _, _, cosine, at in group:
+            low, high = _around(at - first, last - first, item)
+            near = slice(first + low, first + high)
+            own = hashes[near][wanted.among(wanted.words[i], ids[near])]
             share = len(item.answer.intersection(own.tolist())) / len(item.answer)
             if share < ANSWER_SHARE or own.tobytes() in seen:
                 continue
             seen.add(own.tobytes())
             lcs = common_subsequence(item.words, own)
             if lcs >= item.needs():
-                score = own_places[n][2]
-                rows.append((k, item.item_id, score, lcs, len(item.words), share))
+                rows.append((k, item.item_id, cosine, lcs, len(item.words), share))
                 break
     return rows
 
@@ -286,6 +335,7 @@ def _search(held: Broadcast):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, queries, owners, space = held.value
+        wanted = Wanted(items)
         for batch in batches:
             for part in chunks(batch, "text"):
                 found, hashes = _word_hashes(part.column("text"))
@@ -295,14 +345,14 @@ def _search(held: Broadcast):
                     places = _passages(found, part.num_rows)
                     start, row, first = places
                     near = first[space.norm_shares(buckets, places) >= NORM_SHARE]
-                    parts: list[tuple] = []
+                    parts = []
                     for at in range(0, len(near), SLICE):
                         some = near[at : at + SLICE]
                         vectors = _vectors_of(space, buckets, found, start[some], row[some])
-                        parts += _places(vectors @ queries.T, row[some], start[some], owners)
-                    # Slices cut rows anywhere: put the places of a row and item side by side again.
-                    parts.sort(key=lambda x: (x[0], x[1], -x[2], x[3]))
-                    rows = _verified(parts, items, found, hashes)
+                        parts.append(_places(vectors @ queries.T, row[some], start[some], owners))
+                    if parts:
+                        joined = [np.concatenate(x) for x in zip(*parts, strict=True)]
+                        rows = _verified(joined, wanted, found, hashes)
                 columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
                 kinds = [pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.float64()]
                 yield pa.RecordBatch.from_arrays(

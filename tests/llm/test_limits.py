@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import time
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sparkmeter.llm import collocations
+from sparkmeter.llm import collocations, decontaminate
 from sparkmeter.llm.registry import ship_package
 from sparkmeter.session import settle
 
@@ -53,3 +55,32 @@ def test_marks_leave_no_shuffle_files(spark):
     assert marked.any()
     assert settles_to(spark, before)
     texts.unpersist()
+
+
+def test_places_are_told_by_item(monkeypatch):
+    """As place by place, but with two passes over the words per item and not per row and item."""
+    rng = np.random.default_rng(3)
+    words = [f"w{k}" for k in range(60)]
+    texts = [" ".join(rng.choice(words, size=n)) for n in [0, 5, 200, 400, 30, 1000] * 5]
+    asked = [{"item_id": k, "text": " ".join(rng.choice(words, size=n))} for k, n in enumerate((3, 12, 40))]
+    items, _ = decontaminate._items(asked, np.ones(decontaminate.DIMENSIONS))
+    found, hashes = decontaminate._word_hashes(pa.array(texts))
+    start, row, first = decontaminate._passages(found, len(texts))
+    owners = np.tile(np.arange(len(items)), len(first))
+    at = np.repeat(first, len(items))
+    places = [row[at], owners, np.ones(len(at)), start[at]]
+    wanted = decontaminate.Wanted(items)
+    calls = []
+    among = wanted.among
+    monkeypatch.setattr(wanted, "among", lambda *x: calls.append(1) or among(*x))
+    ids = wanted.ids(hashes)
+    hit = wanted.likely(places, found, ids)
+    assert len(calls) == 2 * len(items)
+    assert 0 < hit.sum() < len(hit)
+    for k, i, begin, own in zip(places[0], owners, places[3], hit, strict=True):
+        item, low, high = items[i], found.rows[k], found.rows[k + 1]
+        reach = len(item.words) + decontaminate.BLOCK
+        near = hashes[max(low, begin - reach) : min(high, begin + 2 * decontaminate.BLOCK + reach)]
+        enough = np.isin(near, item.words).sum() >= item.needs()
+        answer = np.isin(near, np.array(sorted(item.answer), dtype=np.uint64)).sum()
+        assert own == (enough and answer / len(item.answer) >= decontaminate.ANSWER_SHARE)
