@@ -38,7 +38,7 @@ from sparkmeter.llm.components import connected
 from sparkmeter.llm.expressions import table
 from sparkmeter.llm.registry import query
 from sparkmeter.llm.words import chunks, mix, shingle_sets
-from sparkmeter.session import Scratch, settle
+from sparkmeter.session import Scratch, bound_batches, settle
 
 WORDS, PERCENT = 5, 80
 #: Buckets of the token counts: their number is fixed, so they may be sent to every task.
@@ -341,6 +341,7 @@ class Join:
     def __init__(self, texts: DataFrame, words: int, percent: int) -> None:
         self.spark, self.texts = texts.sparkSession, texts
         self.words, self.percent = words, percent
+        bound_batches(self.spark)
         rows = settle(
             texts.select("doc_id", "key", "text").mapInArrow(
                 _set_rows(words), "doc_id long, key long, name binary, node long, n long, bucket long, count long"

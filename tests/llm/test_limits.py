@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sparkmeter.llm import collocations, decontaminate
+from sparkmeter.llm import collocations, decontaminate, jaccard
 from sparkmeter.llm.registry import ship_package
 from sparkmeter.session import settle
 
@@ -34,6 +34,24 @@ def settles_to(spark, most: int) -> bool:
     return False
 
 
+def test_bound_of_arrow_batches(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.unset(key)
+    texts = spark.createDataFrame([(1, 1, "a b c d")], "doc_id long, key long, text string")
+    jaccard.Join(texts, 3, 90)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    wide = spark.range(0, 8000, 1, 1).select(F.repeat(F.lit("x"), 3000).alias("tokens"))
+    found = [r.n for r in wide.mapInArrow(sizes, "n long").collect()]
+    spark.conf.set(key, before)
+    assert sum(found) > 8000 * 3000
+    assert max(found) < 8 << 20
+
+
 def test_settled_tables_leave_no_shuffle_files(spark):
     grouped = spark.range(10_000).groupBy((F.col("id") % 1000).alias("k")).count()
     before = shuffle_files(spark)
