@@ -3,8 +3,11 @@
 Equal sets are one node. If two sets have a similarity of at least t, they share a token among the
 first n - ceil(t * n) + 1 of each set under ANY order of all tokens. All orders used here put
 frequent tokens last (by a count per hash bucket over all documents, a table of fixed size), and
-differ inside a frequency class. Postings of the first order's prefixes give candidates; a
-candidate must also share a prefix token under each other order before its sets are counted.
+differ inside a frequency class. Postings of the first order's prefixes give pairs. Before whole sets
+move, a pair's marks must allow its link: each set has a bit at a place of each of its tokens, and
+a place that only one of two sets marks is a token that the other lacks, so marks bound the
+intersection from above. What is left must share a prefix token under each other order, then its
+sets are counted.
 
 A token of many nodes does not become all pairs of them. Its list gets the least node as a leader,
 every member is measured against it, and the rest follows from the triangle inequality of the
@@ -25,7 +28,7 @@ ids name none, so a component of null ids has a null name. Other columns are ign
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -47,6 +50,8 @@ BUCKETS = 1 << 16
 BITS = 1 << 24
 #: Bytes of a token in a set that is sent to be counted.
 TOKEN_BYTES = 6
+#: Places of a set's marks for each of its tokens, before the next power of two.
+MARK_PLACES = 4
 #: Longest list whose nodes are paired with each other.
 SHORT = 32
 #: Members of a leader's list that one task compares with those of another block.
@@ -175,24 +180,60 @@ def _unpacked(data: bytes) -> np.ndarray:
     return out.view(">u8").ravel().astype(np.uint64)
 
 
-def _details(words: int, percent: int, ranks: Broadcast, bits: Broadcast, full: bool):
-    """(node, name, tokens) of the texts that pass the filter; else their other orders' prefixes."""
+def _marks(tokens: np.ndarray) -> bytes:
+    """A bit at each token's place, which is its last bits: as many as the size of the set asks for."""
+    places = 64
+    while places < MARK_PLACES * len(tokens):
+        places *= 2
+    marked = np.zeros(places, dtype=bool)
+    marked[(tokens & np.uint64(places - 1)).astype(np.int64)] = True
+    return np.packbits(marked).tobytes()
+
+
+def _most_shared(a: bytes, b: bytes, na: int, nb: int) -> int:
+    """An upper bound of the intersection of two sets, by their marks and sizes."""
+    one, two = (np.frombuffer(x, dtype=np.uint64) for x in (a, b))
+    while len(one) > len(two):
+        one = one[: len(one) // 2] | one[len(one) // 2 :]
+    while len(two) > len(one):
+        two = two[: len(two) // 2] | two[len(two) // 2 :]
+    own = [int(np.bitwise_count(x & ~y).sum()) for x, y in ((one, two), (two, one))]
+    return min(na - own[0], nb - own[1])
+
+
+def _sketches(words: int, bits: Broadcast):
+    """(node, n, marks) of the texts that pass the filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(_hit(batch, bits), "text"):
-                nodes, names, sets = [], [], []
+                rows = [(_node(x), len(x), _marks(x)) for x in shingle_sets(part.column("text"), words)]
+                columns = list(zip(*rows, strict=True)) if rows else [[]] * 3
+                kinds = [pa.int64(), pa.int64(), pa.binary()]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["node", "n", "marks"]
+                )
+
+    return run
+
+
+def _details(words: int, percent: int, ranks: Broadcast, bits: Broadcast):
+    """(node, name, tokens, others) of the texts that pass the filter; others: the other orders' prefixes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(_hit(batch, bits), "text"):
+                nodes, names, sets, others = [], [], [], []
                 for own in shingle_sets(part.column("text"), words):
                     nodes.append(_node(own))
                     names.append(_name(own))
-                    sets.append(
-                        _packed(own)
-                        if full
-                        else b"".join(_packed(np.sort(prefix(own, ranks.value, k, percent))) for k in range(1, ORDERS))
+                    sets.append(_packed(own))
+                    others.append(
+                        b"".join(_packed(np.sort(prefix(own, ranks.value, k, percent))) for k in range(1, ORDERS))
                     )
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(nodes, pa.int64()), *[pa.array(c, pa.binary()) for c in (names, sets)]],
-                    names=["node", "name", "tokens"],
+                    [pa.array(nodes, pa.int64()), *[pa.array(c, pa.binary()) for c in (names, sets, others)]],
+                    names=["node", "name", "tokens", "others"],
                 )
 
     return run
@@ -211,23 +252,42 @@ def _shared(a: np.ndarray, b: np.ndarray) -> int:
     return int((a[at] == b).sum())
 
 
-def _share_prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keep the pairs that share a prefix token under every other order."""
-    for batch in batches:
-        keep = []
-        for a, b in zip(_sets_of(batch.column("ta")), _sets_of(batch.column("tb")), strict=True):
-            one, two = np.split(a, ORDERS - 1), np.split(b, ORDERS - 1)
-            keep.append(all(_shared(x, y) for x, y in zip(one, two, strict=True)))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")], names=["a", "b"]
-        )
+def _possible(percent: int):
+    """(a, b, lead): pairs whose marks allow a link, or with a leader that they are near it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            columns = [batch.column(c).to_pylist() for c in ("ma", "mb", "na", "nb", "lead")]
+            for ma, mb, na, nb, lead in zip(*columns, strict=True):
+                most = _most_shared(ma, mb, na, nb)
+                keep.append(_near(most, na, nb, percent) if lead else 100 * most >= percent * (na + nb - most))
+            kept = pa.array(keep, pa.bool_())
+            names = ["a", "b", "lead"]
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(kept) for c in names], names=names)
+
+    return run
+
+
+def _share_prefixes(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets share a prefix token under every other order."""
+    one, two = np.split(a, ORDERS - 1), np.split(b, ORDERS - 1)
+    return all(_shared(x, y) for x, y in zip(one, two, strict=True))
 
 
 def _measured(percent: int):
-    """(a, b, an, bn, shared, na, nb, lacks, adds): exact counts; what b lacks of a and adds to it."""
+    """(a, b, an, bn, shared, na, nb, lacks, adds): exact counts; what b lacks of a and adds to it.
+
+    Pairs that share no prefix token under another order go, but for those with a leader: their
+    distance is needed even where it is large.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            leads = batch.column("lead").to_pylist()
+            others = zip(_sets_of(batch.column("oa")), _sets_of(batch.column("ob")), leads, strict=True)
+            kept = pa.array([lead or _share_prefixes(a, b) for a, b, lead in others], pa.bool_())
+            batch = batch.filter(kept)
             rows = []
             pairs = zip(
                 _sets_of(batch.column("ta")), _sets_of(batch.column("tb")), batch.column("lead").to_pylist(), strict=True
@@ -377,15 +437,22 @@ class Join:
         drop.drop(kept=1)
         return sized
 
-    def details(self, names: DataFrame, full: bool) -> DataFrame:
-        """(node, name, tokens) of some nodes, each from its first text; or prefixes as tokens.
+    def sketches(self, names: DataFrame) -> DataFrame:
+        """(node, n, marks) of some nodes, each from its first text, as in ``details``."""
+        found = self._asked(self.nodes.join(names, "node", "left_semi")).mapInArrow(
+            _sketches(self.words, self.held[-1]), "node long, n long, marks binary"
+        )
+        return found.dropDuplicates(["node"])
+
+    def details(self, names: DataFrame) -> DataFrame:
+        """(node, name, tokens, others) of some nodes, each from its first text.
 
         The texts are not shuffled: a bitmap of fixed size tells most rows that are not asked for,
         and a join with the asked nodes drops the others.
         """
         found = self._asked(self.nodes.join(names, "node", "left_semi")).mapInArrow(
-            _details(self.words, self.percent, self.ranks, self.held[-1], full),
-            "node long, name binary, tokens binary",
+            _details(self.words, self.percent, self.ranks, self.held[-1]),
+            "node long, name binary, tokens binary, others binary",
         )
         # Repeated rows, and rows that meet a bit by chance, bring a node again.
         return found.dropDuplicates(["node"])
@@ -414,32 +481,31 @@ class Join:
     def linked(self, shared: Column, na: Column, nb: Column) -> Column:
         return shared * 100 >= (na + nb - shared) * self.percent
 
-    def _with_sets(self, pairs: DataFrame, full: bool) -> DataFrame:
-        """Pairs with the sets (or other prefixes) of both sides."""
+    def _with_sides(self, pairs: DataFrame, asked: Callable[[DataFrame], DataFrame], **columns: str) -> DataFrame:
+        """Pairs with columns of both sides, named by a pattern with the side at its question mark."""
         both = pairs.select("a").unionAll(pairs.select("b")).select(F.col("a").alias("node")).distinct()
-        details = self.details(both, full)
-        side = lambda c, t, n: details.select(
-            F.col("node").alias(c), F.col("tokens").alias(t), F.col("name").alias(n)
-        )
-        return pairs.join(side("a", "ta", "an"), "a").join(side("b", "tb", "bn"), "b")
+        found = asked(both)
+        for side in ("a", "b"):
+            own = [F.col(column).alias(pattern.replace("?", side)) for column, pattern in columns.items()]
+            pairs = pairs.join(found.select(F.col("node").alias(side), *own), side)
+        return pairs
 
     def measure(self, pairs: DataFrame, drop: Scratch) -> DataFrame:
-        """Exact counts of pairs (a, b, lead) that pass the other orders' prefix filters.
+        """Exact counts of pairs (a, b, lead) that pass the marks and the other orders' prefix filters.
 
-        Pairs with a leader skip the filters: their distance is needed even where it is large.
+        Pairs with a leader skip the prefixes and are left out where they are not near it.
         """
-        plain = self._with_sets(pairs.filter("NOT lead"), full=False)
-        filtered = plain.select("a", "b", "ta", "tb").mapInArrow(_share_prefixes, "a long, b long")
-        kept = drop.settle(
-            filtered.withColumn("lead", F.lit(False)).unionAll(
-                pairs.filter("lead").select("a", "b", "lead")
+        marked = self._with_sides(pairs, self.sketches, marks="m?", n="n?")
+        possible = drop.settle(
+            marked.select("a", "b", "lead", "ma", "mb", "na", "nb").mapInArrow(
+                _possible(self.percent), "a long, b long, lead boolean"
             ),
-            "candidates",
+            "possible",
         )
         self._release()
         measured = (
-            self._with_sets(kept, full=True)
-            .select("a", "b", "an", "bn", "lead", "ta", "tb")
+            self._with_sides(possible, self.details, tokens="t?", others="o?", name="?n")
+            .select("a", "b", "an", "bn", "lead", "ta", "tb", "oa", "ob")
             .mapInArrow(
                 _measured(self.percent),
                 "a long, b long, an binary, bn binary, shared long, na long, nb long, lacks binary, adds binary",

@@ -102,3 +102,31 @@ def test_places_are_told_by_item(monkeypatch):
         enough = np.isin(near, item.words).sum() >= item.needs()
         answer = np.isin(near, np.array(sorted(item.answer), dtype=np.uint64)).sum()
         assert own == (enough and answer / len(item.answer) >= decontaminate.ANSWER_SHARE)
+
+
+def test_unlike_texts_move_no_sets(spark, monkeypatch):
+    """Texts that share a phrase and little else are told apart by marks, before whole sets move."""
+    rng = np.random.default_rng(5)
+    words = [f"v{k}" for k in range(5000)]
+    texts = [" ".join([*rng.choice(words, size=200), "one same phrase"]) for _ in range(60)]
+    texts += [texts[0] + " more", texts[1] + " more"]
+    rows = [(k, k, text) for k, text in enumerate(texts)]
+    asked = []
+    details = jaccard.Join.details
+    monkeypatch.setattr(
+        jaccard.Join, "details", lambda own, names, *more: asked.append(names.count()) or details(own, names, *more)
+    )
+    join = jaccard.Join(spark.createDataFrame(rows, "doc_id long, key long, text string"), 3, 90)
+    assert {frozenset(r) for r in join.links().collect()} == {
+        frozenset(bytes(jaccard._name(x)) for x in jaccard.shingle_sets(pa.array([texts[k], texts[60 + k]]), 3)) for k in (0, 1)
+    }
+    assert sum(asked) <= 12
+
+
+def test_marks_bound_the_intersection():
+    rng = np.random.default_rng(6)
+    for na, nb, both in [(0, 5, 0), (1, 1, 1), (10, 12, 9), (300, 330, 280), (300, 900, 10), (15, 17, 0), (5000, 4000, 2500)]:
+        tokens = rng.integers(0, 1 << 63, size=na + nb - both, dtype=np.uint64)
+        a, b = np.sort(tokens[:na]), np.sort(tokens[na - both :])
+        most = jaccard._most_shared(jaccard._marks(a), jaccard._marks(b), len(a), len(b))
+        assert both <= most <= both + 0.4 * min(na, nb) + 2
