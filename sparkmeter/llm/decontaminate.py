@@ -231,6 +231,10 @@ def _places(scores: np.ndarray, row: np.ndarray, start: np.ndarray, owners: np.n
     return [row[p], owners[q], scores[p, q], start[p]]
 
 
+#: Flags of words in rows that are held at a time.
+FLAGS = 1 << 24
+
+
 class Wanted:
     """Words of a pass's items, and the places in texts that have enough of them."""
 
@@ -256,6 +260,30 @@ class Wanted:
         self.member[words] = False
         return hit
 
+    def possible(self, places: list[np.ndarray], found, ids: np.ndarray) -> np.ndarray:
+        """Which places lie in a row that has enough of the item's words, and of its answer's, anywhere.
+
+        Each word counts once for a row, and each place of a word in the item once, so no row that
+        holds the item is lost. As each row has a flag for each word, some rows are taken at a time.
+        """
+        row, owner = places[:2]
+        out = np.zeros(len(row), dtype=bool)
+        count, step = len(found.rows) - 1, max(1, FLAGS // len(self.member))
+        for low in range(0, count, step):
+            high = min(low + step, count)
+            some = np.flatnonzero((row >= low) & (row < high))
+            if not len(some):
+                continue
+            own = np.repeat(np.arange(high - low), np.diff(found.rows[low : high + 1]))
+            has = np.zeros((len(self.member), high - low), dtype=bool)
+            has[ids[found.rows[low] : found.rows[high]], own] = True
+            holds = np.zeros((len(self.items), high - low), dtype=bool)
+            for i in np.unique(owner[some]):
+                enough = has[self.answers[i]].sum(axis=0) / len(self.answers[i]) >= ANSWER_SHARE
+                holds[i] = enough & (has[self.words[i]].sum(axis=0) >= self.items[i].needs())
+            out[some] = holds[owner[some], row[some] - low]
+        return out
+
     def likely(self, places: list[np.ndarray], found, ids: np.ndarray) -> np.ndarray:
         """Which places have enough of the item's words, and of its answer's words as often, around them.
 
@@ -295,16 +323,18 @@ def _around(at: np.ndarray, size: np.ndarray, item: Item) -> tuple[np.ndarray, n
 def _verified(places: list[np.ndarray], wanted: Wanted, found, hashes: np.ndarray) -> list[tuple]:
     """The first place of each row and item that holds the item, as result columns.
 
-    Running counts pass over the places with too few words of the item or its answer. Then the
-    distinct words of the answer are counted, and only then words are compared in order; equal words near
+    Flags of words pass over the rows with too few words of the item or its answer, then running
+    counts over the places with too few around them. Then the distinct words of the answer are counted, and only then words are compared in order; equal words near
     several places are compared once. The best place of a row and item is tried first.
     """
     rows: list[tuple] = []
     if not len(places[0]):
         return rows
     ids = wanted.ids(hashes)
-    likely = wanted.likely(places, found, ids)
-    row, owner, score, start = (x[likely] for x in places)
+    for told in (wanted.possible, wanted.likely):
+        hit = told(places, found, ids)
+        places = [x[hit] for x in places]
+    row, owner, score, start = places
     order = np.lexsort((start, -score, owner, row))
     tried = zip(*[x[order].tolist() for x in (row, owner, score, start)], strict=True)
     for (k, i), group in groupby(tried, key=lambda x: (x[0], x[1])):

@@ -130,3 +130,25 @@ def test_marks_bound_the_intersection():
         a, b = np.sort(tokens[:na]), np.sort(tokens[na - both :])
         most = jaccard._most_shared(jaccard._marks(a), jaccard._marks(b), len(a), len(b))
         assert both <= most <= both + 0.4 * min(na, nb) + 2
+
+
+def test_rows_without_the_words_cost_no_counts(monkeypatch):
+    """Rows that lack an item's words are passed over by flags, and no row that holds an item is lost."""
+    rng = np.random.default_rng(9)
+    words = [f"w{k}" for k in range(400)]
+    asked = [{"item_id": k, "text": " ".join(rng.choice(words, size=n))} for k, n in enumerate((3, 12, 40))]
+    texts = [" ".join(rng.choice(words[:100], size=n)) for n in [0, 5, 200, 400] * 5]
+    texts += [f"{texts[2]} {x['text']} {texts[3]}" for x in asked]
+    items, _ = decontaminate._items(asked, np.ones(decontaminate.DIMENSIONS))
+    found, hashes = decontaminate._word_hashes(pa.array(texts))
+    start, row, first = decontaminate._passages(found, len(texts))
+    owners, at = np.tile(np.arange(len(items)), len(first)), np.repeat(first, len(items))
+    places = [row[at], owners, np.ones(len(at)), start[at]]
+    wanted = decontaminate.Wanted(items)
+    likely, counted = wanted.likely, []
+    monkeypatch.setattr(wanted, "likely", lambda own, *x: counted.append(len(own[0])) or likely(own, *x))
+    for flags in (1, 1 << 24):
+        monkeypatch.setattr(decontaminate, "FLAGS", flags)
+        got = {(k, i) for k, i, *_ in decontaminate._verified(places, wanted, found, hashes)}
+        assert {(20, 0), (21, 1), (22, 2)} <= got
+    assert counted[0] == counted[1] < len(at) / 2
