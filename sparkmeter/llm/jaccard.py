@@ -659,8 +659,17 @@ def one_of_each(
         F.col(id_col).alias("own_id"),
         F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("own_key"),
     )
-    same = (F.col("own_key") == F.col("key")) & F.col("own_id").eqNullSafe(F.col("doc_id"))
-    return held.join(kept, same, "left_semi").dropDuplicates(["own_id", "own_key"]).select("row.*")
+    # The keys of the join are columns, so that equal rows are found where the join put them.
+    sides = [
+        (held.withColumn("given", F.col("own_id").cast("bigint")), "own_key"),
+        (kept.withColumn("given", F.col("doc_id")), "key"),
+    ]
+    rows, wanted = (
+        x.withColumns({"placed": F.col(key), "known": F.coalesce("given", F.lit(0)), "none": F.isnull("given")})
+        for x, key in sides
+    )
+    by = ["placed", "known", "none"]
+    return rows.join(wanted.select(*by), by, "left_semi").dropDuplicates([*by, "own_id"]).select("row.*")
 
 
 @query("op6_multi_order_jaccard")

@@ -152,3 +152,10 @@ def test_rows_without_the_words_cost_no_counts(monkeypatch):
         got = {(k, i) for k, i, *_ in decontaminate._verified(places, wanted, found, hashes)}
         assert {(20, 0), (21, 1), (22, 2)} <= got
     assert counted[0] == counted[1] < len(at) / 2
+
+
+def test_rows_move_once_to_their_representatives(spark):
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (None, "g h i j k l"), (3, ""), (3, None)]
+    found = jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert "hashpartitioning(own_id" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(str(r["doc_id"]) for r in found.collect()) == ["1", "3", "None"]
