@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import os
+import random
 import re
 import time
 
@@ -20,6 +21,7 @@ from sparkmeter.plans.jobs import FailingStore, Lost, repeated
 from sparkmeter.schemas import DAILY_MEASURES, LIMITS
 from sparkmeter.session import scratch, scratch_path, scratch_root, settle
 from sparkmeter.sources.registry import Source
+from sparkmeter.store import ingest as jobs
 from sparkmeter.store.index import catch_up, held_rows, last_number, refresh_sessions
 from sparkmeter.store.ingest import ingest, ingest_registry, rebuild, save_daily, save_files, save_full
 from sparkmeter.store.merging import merge_trees
@@ -263,6 +265,79 @@ def test_rebuild_skips_a_failing_source_and_notes_files(spark, tmp_path):
         rebuild(store, broken, now(), "u")
 
 
+class CountingStore(FailingStore):
+    """A store that notes which tables are written."""
+
+    def _write(self, name, rows):
+        self.written = [*getattr(self, "written", []), name]
+        return super()._write(name, rows)
+
+
+def random_logs(root, sources, seed, sessions):
+    """Logs of some devices with common sessions and ids; no id is a response's and a prompt's."""
+    pick = random.Random(seed)
+    for source in sources:
+        os.makedirs(source.path, exist_ok=True)
+        lines = [
+            line(
+                pick.randrange(60), tokens=pick.randrange(1, 40), uuid=f"m{pick.randrange(60)}",
+                session=f"s{pick.choice(sessions)}", day=pick.randrange(1, 5),
+                kind=pick.choice(["assistant", "assistant", "user"]),
+            )
+            for _ in range(80)
+        ]
+        with open(f"{source.path}/x.jsonl", "w", encoding="utf-8") as f:
+            f.write("\n".join(lines) + "\n")
+
+
+def test_sources_rebuilt_together_are_as_one_after_the_other(spark, tmp_path, monkeypatch):
+    sources = [Source(str(tmp_path / d), "claude", d, d, "linux") for d in ("a", "b", "c")]
+    random_logs(tmp_path, sources, 1, range(9))
+    both = [new_store(spark, CountingStore) for _ in range(2)]
+    for store in both:
+        ingest(store, sources, now())
+    random_logs(tmp_path, sources, 2, range(5))
+    found = []
+    for store, together in zip(both, (32, 1), strict=True):
+        monkeypatch.setattr(jobs, "REBUILT_TOGETHER", together)
+        store.written = []
+        count = rebuild(store, sources, now(), "t")
+        catch_up(store)
+        assert store.written.count("usage") == (1 if together > 1 else 3)
+        lost = store.read("touched").filter("shrunk").select("date", "device_id").distinct()
+        facts = store.read("usage").drop("id", "updated_seq")
+        found.append((count, rows(facts), rows(lost), state_of(store)))
+        assert store.read("usage").select("id").distinct().count() == facts.count()
+    assert found[0] == found[1] and found[0][0] > 60
+
+
+@pytest.mark.parametrize("device", ["a", "b"])
+def test_sources_whose_order_matters_are_rebuilt_one_by_one(spark, tmp_path, device):
+    # The same session of one device, or an id of a response and of a prompt.
+    sources = [Source(str(tmp_path / n), "claude", d) for n, d in (("x", "a"), ("y", device))]
+    store = new_store(spark, CountingStore)
+    for source, kind in zip(sources, ("assistant", "user"), strict=True):
+        os.mkdir(source.path)
+        add(tmp_path / source.path / "x.jsonl", line(1, uuid="u1", kind=kind))
+    assert rebuild(store, sources, now(), "t") == 2 - (device == "b")
+    assert store.written.count("usage") == 2
+    # Of one device the later source's session stays; of two the earlier response is known.
+    kept = "user" if device == "a" else "assistant"
+    assert [r.message_type for r in store.read("usage").collect()] == [kept]
+
+
+def test_a_failed_commit_of_several_sources_is_made_for_each(spark, tmp_path):
+    sources = [Source(str(tmp_path / d), "claude", d) for d in ("a", "b")]
+    store, failures = new_store(spark, CountingStore), {}
+    for source in sources:
+        os.mkdir(source.path)
+        add(tmp_path / source.path / "x.jsonl", line(1, uuid=source.device_id))
+    store.fail_after = 3  # after the guard, the facts of both, and their keys
+    assert rebuild(store, sources, now(), "t", failures=failures) == 2
+    assert failures == {} and store.written.count("usage") == 3
+    assert store.read("usage").count() == 2 and store.read("manifest").count() == 2
+
+
 def test_jobs_leave_no_scratch_behind(spark, sf, tmp_path):
     store, lake, server = (new_store(spark) for _ in range(3))
     source = Source(str(tmp_path), "claude")
